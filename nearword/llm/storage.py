@@ -6,8 +6,12 @@ cluster). When it is unset, as in tests, a folder of this process is made and se
 
 from __future__ import annotations
 
+import io
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,6 +25,26 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors' Python this package, once per application, wherever the driver has it from."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    root = Path(__file__).resolve().parents[1]
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    handle, name = tempfile.mkstemp(prefix="nearword-", suffix=".zip")
+    with os.fdopen(handle, "wb") as out:
+        out.write(packed.getvalue())
+    spark.sparkContext.addPyFile(name)
+    _shipped.add(app)
+
+
 class Scratch:
     """A new folder below the shared one for one run of an operator."""
 
@@ -46,7 +70,7 @@ def open_output(uri: str):
 
     store, path = fs.FileSystem.from_uri(uri)
     store.create_dir(path.rpartition("/")[0], recursive=True)
-    return store.open_output_stream(path)
+    return store.open_output_stream(path, compression=None)
 
 
 def open_input(uri: str):
