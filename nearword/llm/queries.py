@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearword.llm import exact_dedup, fingerprints, mixing, near_dup, packing, sharding, token_store, toxicity, warc
+from nearword.llm import exact_dedup, fingerprints, mixing, near_dup, packing, quality, sharding, token_store, toxicity, warc
 from nearword.llm.storage import Scratch, ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +31,11 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(manifest, payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that importance resampling takes."""
+    return quality.sampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_min_max_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents on shingles of two words."""
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), near_dup.Rule(n=2)).select("doc_id", "n_shingles", "component_id", "kept")
@@ -78,6 +83,7 @@ def op10_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_warc": op1_warc,
+    "op2_quality": op2_quality,
     "op3_min_max_near_dup": op3_min_max_near_dup,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_toxicity": op5_toxicity,
