@@ -12,13 +12,15 @@ Links are exact: each is confirmed on the two full sets. The steps:
 1. Documents with equal sets are one class, represented by its smallest id; copies never meet as pairs.
 2. Class representatives are dealt to buckets by band. Of each bucket with two or more, one member, the
    pivot, is compared with all others: linear in the bucket, whatever its size.
-3. Components of the confirmed links. What is left to compare in a bucket are members of different
-   components: each is compared with the bucket's members outside its own, where a bucket's largest
-   component is only met, never joined with itself.
-4. Components of all confirmed links.
+3. Components of the confirmed links. In buckets whose members are of several components yet, those outside
+   the largest are compared with a few random members of it, a few buckets each, and components are found
+   anew; the rounds leave documents that have no link to most of their bucket.
+4. These are compared with all members of other components in their buckets, which makes the result exact;
+   a bucket's largest component is only met, never joined with itself.
 
-Before texts are fetched, pairs whose set sizes exclude the threshold are left out, and those whose
-240-bit sketches differ in more bits than a pair at the threshold does but once in 10**8.
+Before texts are fetched, pairs whose set sizes exclude the threshold are left out, and those whose sketches
+(two bits of each signature value) agree in fewer places than a pair at the threshold does but once in
+10**6.
 
 Defined cases: null, empty and blank texts have the empty set and are linked with nothing. A text of fewer
 than ``n`` words is one shingle. A null ``doc_id`` is returned with a null component and kept. Rows with
@@ -36,6 +38,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from nearword.llm import textbytes
 from nearword.llm.components import components
@@ -62,9 +65,17 @@ class Rule:
 
     @property
     def sketch_limit(self) -> int:
-        """Bits in which sketches may differ: the mean at the threshold and six standard deviations."""
-        bits, differ = self.bands * self.rows, (1 - self.over / self.of) / 2
-        return int(bits * differ + 6 * (bits * differ * (1 - differ)) ** 0.5)
+        """Values in which sketches may differ: the mean at the threshold and 4.75 standard deviations."""
+        values, differ = self.bands * self.rows, 0.75 * (1 - self.over / self.of)
+        return int(values * differ + 4.75 * (values * differ * (1 - differ)) ** 0.5)
+
+    @property
+    def sketch_longs(self) -> int:
+        return -(-self.bands * self.rows // 32)
+
+
+#: How many random members of the largest component a document is compared with, by round.
+TRIES = (3, 9, 27)
 
 
 def affine(permutations: int, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
@@ -105,12 +116,13 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def sketches(signature: np.ndarray) -> np.ndarray:
-    """(sets, longs) int64: one bit of a hash of each signature value."""
+    """(sets, longs) int64: two bits of a hash of each signature value, 32 values a long."""
     mixed = (signature ^ (signature >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
-    bits = (mixed >> np.uint32(31)).astype(np.uint8)
-    padded = np.zeros((len(bits), -(-bits.shape[1] // 64) * 64), np.uint8)
-    padded[:, : bits.shape[1]] = bits
-    return np.packbits(padded, axis=1).view(np.int64)
+    longs = -(-signature.shape[1] // 32)
+    bits = np.zeros((len(signature), longs * 32), np.uint64)
+    bits[:, : signature.shape[1]] = mixed >> np.uint32(30)
+    shifted = bits.reshape(len(signature), longs, 32) << (2 * np.arange(32, dtype=np.uint64))
+    return np.bitwise_or.reduce(shifted, axis=2).view(np.int64)
 
 
 def signed(docs: DataFrame, rule: Rule) -> DataFrame:
@@ -135,15 +147,18 @@ def signed(docs: DataFrame, rule: Rule) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, set_key binary, bands array<long>, sketch array<long>")
 
 
-def possible(rule: Rule, words: int) -> Column:
-    """Whether sizes (n, m) and sketches (s, t) of a pair leave it possible that it reaches the threshold."""
+def possible(rule: Rule) -> Column:
+    """Whether sizes (n, m) and sketches (s.., t..) of a pair leave it possible that it reaches the threshold."""
     few, many = F.least("n", "m"), F.greatest("n", "m")
-    differ = sum((F.bit_count(F.col(f"s{i}").bitwiseXOR(F.col(f"t{i}"))) for i in range(words)), F.lit(0))
+    differ = F.lit(0)
+    for i in range(rule.sketch_longs):
+        x = F.col(f"s{i}").bitwiseXOR(F.col(f"t{i}"))
+        differ = differ + F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555)))
     return (few * rule.of >= many * rule.over) & (differ <= rule.sketch_limit)
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
-    """The pairs (a, b) of doc_ids whose full sets reach the threshold, with ``shared`` and ``united`` sizes."""
+def confirmed(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
+    """The pairs (a, b) of doc_ids in ``texts`` whose full sets reach the threshold, with ``shared`` and ``united`` sizes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, mine = None, np.zeros(0, np.uint64)
@@ -166,59 +181,67 @@ def confirmed(pairs: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["a", "b", "shared", "united"])
 
-    texts = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    needed = Scratch(docs.sparkSession, "near-dup-texts").cut(texts.join(ids, "doc_id", "left_semi"), "texts")
-    one = pairs.join(needed.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    two = one.join(needed.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
+    one = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+    two = one.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
     return two.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, shared long, united long")
 
 
-def links(reps: DataFrame, docs: DataFrame, rule: Rule, scratch: Scratch, words: int) -> DataFrame:
+def unsettled_members(members: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
+    """(bucket, rep, label, main, k) of the buckets with several components: main is the largest and k its size there."""
+    placed = members.select("bucket", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("label", "rep").alias("label"))
+    counts = placed.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("k"))
+    mixed = counts.groupBy("bucket").agg(F.max(F.struct("k", "label")).alias("most"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
+    return scratch.cut(placed.join(mixed.select("bucket", F.col("most.label").alias("main"), F.col("most.k").alias("k")), "bucket"), "unsettled")
+
+
+def links(reps: DataFrame, docs: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame:
     """All links (a, b) that join components, between representatives (rep, n, bands, sketch); not all links inside one."""
-    flat = [F.col("sketch")[i].alias(f"s{i}") for i in range(words)]
-    nodes = scratch.cut(reps.select("rep", "n", *flat), "nodes")
+    longs = range(rule.sketch_longs)
+    nodes = scratch.cut(reps.select("rep", "n", *[F.col("sketch")[i].alias(f"s{i}") for i in longs]), "nodes")
+    left = nodes.withColumnRenamed("rep", "a")
+    right = nodes.select(F.col("rep").alias("b"), F.col("n").alias("m"), *[F.col(f"s{i}").alias(f"t{i}") for i in longs])
     every = reps.select("rep", F.explode("bands").alias("bucket"))
-    order = F.xxhash64("rep")
-    shared = every.groupBy("bucket").agg(F.min(order).alias("pivot"), F.max(order).alias("__last")).where("pivot != __last").drop("__last")
+    shared = every.groupBy("bucket").agg(F.min(F.xxhash64("rep")).alias("pivot"), F.max(F.xxhash64("rep")).alias("__last")).where("pivot != __last").drop("__last")
     members = scratch.cut(every.join(shared, "bucket"), "members")  # buckets of two or more, each row with its pivot's hash
+    texts = docs.where("doc_id IS NOT NULL").select("doc_id", "text").join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    texts = scratch.cut(texts, "texts")
 
-    def told(pairs: DataFrame, seen: DataFrame | None, name: str) -> DataFrame:
-        fresh = pairs.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        fresh = fresh if seen is None else fresh.join(seen, ["a", "b"], "left_anti")
-        left = nodes.select(F.col("rep").alias("a"), "n", *[f"s{i}" for i in range(words)])
-        right = nodes.select(F.col("rep").alias("b"), F.col("n").alias("m"), *[F.col(f"s{i}").alias(f"t{i}") for i in range(words)])
-        return scratch.cut(fresh.join(left, "a").join(right, "b").where(possible(rule, words)).select("a", "b"), name)
+    def ordered(pairs: DataFrame) -> DataFrame:
+        return pairs.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
-    pivots = nodes.select(F.col("rep").alias("a"), F.xxhash64("rep").alias("pivot"))
-    star = members.select(F.col("rep").alias("b"), "pivot").distinct().join(pivots, "pivot").select("a", "b")
-    asked = told(star, None, "star")
-    near = scratch.cut(confirmed(asked, docs, rule), "links").select("a", "b")
+    def tried(pairs: DataFrame) -> DataFrame:
+        return scratch.cut(confirmed(scratch.cut(pairs, "asked"), texts, rule), "links").select("a", "b")
 
-    labels = components(near, scratch)
-    placed = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("label", "rep").alias("label"))
-    counts = placed.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("k"))
-    mixed = counts.groupBy("bucket").agg(F.max(F.struct("k", "label")).alias("most"), F.count(F.lit(1)).alias("labels")).where("labels > 1").select("bucket", F.col("most.label").alias("main"))
-    wide = placed.join(mixed, "bucket").join(nodes, "rep")
-    open_rows = scratch.cut(wide, "open")  # buckets whose members are of several components yet
-    left = open_rows.where("label != main")
-    right = open_rows.select("bucket", F.col("rep").alias("b"), F.col("label").alias("other"), F.col("n").alias("m"), *[F.col(f"s{i}").alias(f"t{i}") for i in range(words)])
-    met = left.join(right, "bucket").where((F.col("label") != F.col("other")) & possible(rule, words)).select(F.col("rep").alias("a"), "b")
-    rest = scratch.cut(met.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(asked, ["a", "b"], "left_anti"), "rest")
-    if rest.isEmpty():
-        return near
-    return near.union(scratch.cut(confirmed(rest, docs, rule), "links").select("a", "b"))
+    pivots = nodes.select(F.col("rep").alias("a"), F.xxhash64("rep").alias("pivot"))
+    star = ordered(members.select(F.col("rep").alias("b"), "pivot").distinct().join(pivots, "pivot").select("a", "b"))
+    found = tried(star.join(left, "a").join(right, "b").where(possible(rule)).select("a", "b"))
+    unsettled = unsettled_members(members, components(found, scratch), scratch)
+    for tries in TRIES:
+        partner = unsettled.where("label = main AND k > 1").groupBy("bucket").agg(F.min_by("rep", F.xxhash64("rep", "bucket")).alias("b"))
+        strays = unsettled.where("label != main AND k > 1").select("bucket", F.col("rep").alias("a")).join(partner, "bucket")
+        turn = F.row_number().over(Window.partitionBy("a").orderBy(F.xxhash64("bucket", F.lit(tries))))
+        some = ordered(strays.withColumn("turn", turn).where(F.col("turn") <= tries).select("a", "b"))
+        more = tried(some.join(left, "a").join(right, "b").where(possible(rule)).select("a", "b"))
+        if more.isEmpty():
+            break
+        found = found.union(more)
+        unsettled = unsettled_members(members, components(found, scratch), scratch)
+    wide = unsettled.drop("k").join(nodes, "rep")
+    one = wide.where("label != main")
+    two = wide.select("bucket", F.col("rep").alias("b"), F.col("label").alias("other"), F.col("n").alias("m"), *[F.col(f"s{i}").alias(f"t{i}") for i in longs])
+    once = (F.col("label") != F.col("other")) & ((F.col("other") == F.col("main")) | (F.col("rep") < F.col("b")))
+    rest = ordered(one.join(two, "bucket").where(once & possible(rule)).select(F.col("rep").alias("a"), "b"))
+    return found.union(tried(rest))
 
 
 def near_duplicates(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """A row per document: doc_id, n_shingles, component_id (smallest doc_id reachable), kept (doc_id = component_id), set_rep (its class)."""
     scratch = Scratch(docs.sparkSession, "near-dup")
-    words = -(-rule.bands * rule.rows // 64)
     signs = scratch.cut(signed(docs, rule), "signed")
     full = signs.where("set_key IS NOT NULL AND doc_id IS NOT NULL")
     classes = scratch.cut(full.groupBy("set_key").agg(F.min("doc_id").alias("rep")), "classes")
     reps = full.join(classes, ["set_key"]).where("doc_id = rep").select("rep", F.col("n_shingles").alias("n"), "bands", "sketch").dropDuplicates(["rep"])
-    found = components(links(reps, docs, rule, scratch, words), scratch)
+    found = components(links(reps, docs, rule, scratch), scratch)
     of_class = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", "rep", F.coalesce("label", "rep").alias("label"))
     own = signs.select("doc_id", "n_shingles", "set_key").join(of_class, "set_key", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "doc_id"))
