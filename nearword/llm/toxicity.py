@@ -39,8 +39,8 @@ _FOLD[~_LETTERS] = 0x20
 class Settings:
     """``grams``: lengths of n-grams in bytes, the spaces around a word included."""
 
-    sample: int = 1500
-    sample_bytes: int = 16 << 20
+    sample: int = 1200
+    sample_bytes: int = 10 << 20
     buckets: int = 1 << 18
     dimensions: int = 4
     grams: tuple[int, ...] = (3, 4, 5)
@@ -145,15 +145,17 @@ def fit(texts: pa.Array, labels: np.ndarray, settings: Settings = Settings(), pr
     word_of, first, grams, gram_first = _bags(texts, settings)
     rng = np.random.default_rng(settings.seed)
     used, grams = np.unique(grams, return_inverse=True)
+    grams = grams.astype(np.int32)
     d = settings.dimensions
-    embedding = rng.normal(0, 0.3, (len(used), d)).astype(np.float32)
+    embedding = rng.normal(0, 0.3, (d, len(used))).astype(np.float32)
     softmax = rng.normal(0, 0.3, d).astype(np.float32)
     bias = np.float32(-3.0)
     sizes = np.diff(gram_first)
-    owner = np.repeat(np.arange(len(sizes)), sizes)
-    by_gram = np.argsort(grams, kind="stable")
+    owner = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+    by_gram = np.argsort(grams, kind="stable").astype(np.int32)
     gram_begin = np.searchsorted(grams[by_gram], np.arange(len(used)))
     word_sorted = owner[by_gram]
+    del owner, by_gram
     in_docs = np.argsort(word_of, kind="stable")
     word_begin = np.searchsorted(word_of[in_docs], np.arange(len(sizes)))
     doc_sizes = np.diff(first)
@@ -161,16 +163,16 @@ def fit(texts: pa.Array, labels: np.ndarray, settings: Settings = Settings(), pr
     balance = np.where(labels > 0, 0.5 / share, 0.5 / (1 - share)) / len(labels)
     state = [[np.zeros_like(x), np.zeros_like(x)] for x in (embedding, softmax)] + [[np.float32(0), np.float32(0)]]
     for epoch in range(settings.epochs):
-        vectors = np.add.reduceat(embedding[grams], gram_first[:-1], axis=0) / sizes[:, None]
-        words = vectors @ softmax + bias
+        vectors = np.stack([np.add.reduceat(row[grams], gram_first[:-1]) for row in embedding]) / sizes.astype(np.float32)
+        words = softmax @ vectors + bias
         values = words[word_of]
         pool = pooled(values.astype(np.float64), first, float(bias), settings.sharpness)
         error = (probability(pool) - labels) * balance
         weight = np.exp(settings.sharpness * (values - pool[doc_of])) * error[doc_of]
         slope = np.add.reduceat(weight[in_docs], word_begin).astype(np.float32)
-        spread = slope / sizes
-        to_embedding = np.add.reduceat(spread[word_sorted], gram_begin)[:, None] * softmax[None, :] + settings.decay * embedding / len(used)
-        gradients = (to_embedding.astype(np.float32), (slope @ vectors).astype(np.float32), np.float32(slope.sum()))
+        spread = slope / sizes.astype(np.float32)
+        to_embedding = softmax[:, None] * np.add.reduceat(spread[word_sorted], gram_begin)[None, :] + np.float32(settings.decay / len(used)) * embedding
+        gradients = (to_embedding, vectors @ slope, np.float32(slope.sum()))
         step = settings.rate * (1 - epoch / settings.epochs)
         moved = []
         for value, g, s in zip((embedding, softmax, bias), gradients, state, strict=True):
@@ -179,28 +181,39 @@ def fit(texts: pa.Array, labels: np.ndarray, settings: Settings = Settings(), pr
             moved.append(value - step * (s[0] / (1 - 0.9 ** (epoch + 1))) / (np.sqrt(s[1] / (1 - 0.99 ** (epoch + 1))) + 1e-8))
         embedding, softmax, bias = moved
     weight = np.zeros(settings.buckets, np.float32)
-    weight[used] = embedding @ softmax
+    weight[used] = softmax @ embedding
     model = Model(settings, weight, float(bias), 1.0, 0.0)
-    model = _calibrated(model, log_odds(texts, model), labels)
+    odds = np.concatenate([log_odds(part.column("text"), model) for part in textbytes.slices(pa.record_batch({"text": texts}), "text")])
+    model = _calibrated(model, odds, labels)
     model.shift += float(np.log(prior / (1 - prior)) - np.log(share / (1 - share)))
     return model
 
 
 def _bags(texts: pa.Array, settings: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(word of each place, first, n-grams, first): texts as lists of distinct words, words as lists of buckets."""
-    data, starts, ends, first = _prepared(texts)
-    hashes = textbytes.range_hashes(data, starts + 1, ends + 1, folded=False)
-    _, at, word = np.unique(hashes, return_index=True, return_inverse=True)
-    parts, counts = [], np.zeros(len(at), np.int64)
-    for keys, a, b in word_grams(data, starts[at], ends[at], settings):
-        a, b = np.minimum(a, len(keys)), np.minimum(b, len(keys))
-        n = b - a
-        parts.append((keys[np.repeat(a - np.cumsum(n) + n, n) + np.arange(n.sum())], np.repeat(np.arange(len(at)), n)))
-        counts += n
-    keys, owner = (np.concatenate(x) for x in zip(*parts, strict=True))
-    keys = keys[np.argsort(owner, kind="stable")]
-    lists = [np.unique(word[a:b]) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
-    return np.concatenate(lists), np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64), keys, np.concatenate([[0], np.cumsum(counts)])
+    words, keys, counts, docs = [np.zeros(0, np.uint64)], [], [], []
+    for part in textbytes.slices(pa.record_batch({"text": texts}), "text"):
+        data, starts, ends, first = _prepared(part.column("text"))
+        hashes = textbytes.range_hashes(data, starts + 1, ends + 1, folded=False)
+        found, at = np.unique(hashes, return_index=True)
+        fresh = ~np.isin(found, np.concatenate(words))
+        words.append(found[fresh])
+        at = at[fresh]
+        buckets, owners = [], []
+        for key, lo, hi in word_grams(data, starts[at], ends[at], settings):
+            lo, hi = np.minimum(lo, len(key)), np.minimum(hi, len(key))
+            n = hi - lo
+            buckets.append(key[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())].astype(np.int32))
+            owners.append(np.repeat(np.arange(len(at)), n))
+        owner = np.concatenate(owners)
+        keys.append(np.concatenate(buckets)[np.argsort(owner, kind="stable")])
+        counts.append(np.bincount(owner, minlength=len(at)))
+        docs += [np.unique(hashes[x:y]) for x, y in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+    words = np.concatenate(words)
+    order = np.argsort(words)
+    word_of = order[np.searchsorted(words[order], np.concatenate(docs))].astype(np.int32)
+    first = np.concatenate([[0], np.cumsum([len(x) for x in docs])]).astype(np.int64)
+    return word_of, first, np.concatenate(keys), np.concatenate([[0], np.cumsum(np.concatenate(counts))]).astype(np.int64)
 
 
 def _calibrated(model: Model, odds: np.ndarray, labels: np.ndarray) -> Model:
