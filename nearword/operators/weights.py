@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from nearword.functions import formulas
 
@@ -18,8 +19,8 @@ def text_tokens(features: DataFrame) -> DataFrame:
 
 
 def term_frequency(features: DataFrame) -> DataFrame:
-    """(id, term, tf). Map-side partial counts meet all of a text, so a posting is shuffled once."""
-    return text_tokens(features).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    """(id, term, tf). Texts are dealt out by id, once; what is grouped by id from here on, norms too, stays where it is."""
+    return text_tokens(features.select("id", "text").repartition("id")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def doc_length(features: DataFrame) -> DataFrame:
@@ -33,13 +34,10 @@ def doc_norm(frequencies: DataFrame) -> DataFrame:
 
 
 def impacts(frequencies: DataFrame) -> DataFrame:
-    """(id, term, impact). Norms are windows over the id's postings, so that both come from one shuffle by id."""
-    from pyspark.sql.window import Window
-
-    weight = formulas.term_weight(F.col("tf"))
-    by_id = frequencies.repartition("id").withColumn("w", weight)
+    """(id, term, impact). Norms are windows over the id's postings."""
     length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("id")))
-    return by_id.select("id", "term", formulas.impact(F.col("w"), length).alias("impact"))
+    weighed = frequencies.withColumn("w", formulas.term_weight(F.col("tf")))
+    return weighed.select("id", "term", formulas.impact(F.col("w"), length).alias("impact"))
 
 
 def document_frequency(frequencies: DataFrame) -> DataFrame:

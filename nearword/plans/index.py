@@ -20,6 +20,7 @@ from pyspark.sql.window import Window
 
 from nearword.functions import formulas
 from nearword.operators import weights
+from nearword.plans.scratch import cut
 
 BLOCK_SIZE = 4096
 #: Bytes of a stored posting in the two kinds of index.
@@ -82,11 +83,16 @@ def build(features: DataFrame, kind: str = "s2i", block_size: int = BLOCK_SIZE,
     return Index(postings, term_info, weights.dataset_size(features), weights.doc_length(features))
 
 
-def light(features: DataFrame) -> Index:
-    """The tables that searches read, without term ids and lengths: for queries over features that have no index yet."""
+def for_query(features: DataFrame, keywords: str) -> Index:
+    """The rows of the tables that a query reads, of features that have no index yet: one pass over the texts.
+
+    Postings and df are of the query's terms alone; postings are cut, so that df and scores start from them.
+    """
+    terms = weights.query_terms(features.sparkSession, keywords)
     tf = weights.term_frequency(features)
-    places = features.select("id", "lat", "lon")
-    return Index(weights.impacts(tf).join(places, "id").select("term", "id", "lat", "lon", "impact"), weights.document_frequency(tf), weights.dataset_size(features), weights.doc_length(features))
+    asked = weights.impacts(tf).join(F.broadcast(terms), "term")
+    postings = cut(asked.join(features.select("id", "lat", "lon"), "id").select("term", "id", "lat", "lon", "impact"), "query-postings")
+    return Index(postings, weights.document_frequency(postings), weights.dataset_size(features), weights.doc_length(features))
 
 
 def _clustered(postings: DataFrame) -> DataFrame:

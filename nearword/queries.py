@@ -54,8 +54,13 @@ def _tf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weights.term_frequency(features(spark, sf_dir))
 
 
-def _index(spark: SparkSession, sf_dir: str) -> index.Index:
-    return index.light(features(spark, sf_dir))
+def _index(spark: SparkSession, sf_dir: str, keywords: str = KEYWORDS) -> index.Index:
+    return index.for_query(features(spark, sf_dir), keywords)
+
+
+def _postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = features(spark, sf_dir)
+    return weights.impacts(weights.term_frequency(own)).join(own.select("id", "lat", "lon"), "id").select("term", "id", "lat", "lon", "impact")
 
 
 def _rounded(df: DataFrame, *names: str) -> DataFrame:
@@ -68,7 +73,7 @@ def text_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def preference(rule: str, grouped: bool = False, keywords: str = KEYWORDS) -> Query:
-    return lambda spark, sf_dir: search.preference(_index(spark, sf_dir), objects(spark, sf_dir), keywords, rule, RADIUS, K, grouped)
+    return lambda spark, sf_dir: search.preference(_index(spark, sf_dir, keywords), objects(spark, sf_dir), keywords, rule, RADIUS, K, grouped)
 
 
 def query_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,7 +107,7 @@ def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cell_max_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(index.cell_max_impact(_index(spark, sf_dir).postings, 8), "max_impact")
+    return _rounded(index.cell_max_impact(_postings(spark, sf_dir), 8), "max_impact")
 
 
 def _saved(spark: SparkSession, sf_dir: str, kind: str) -> index.Index:
@@ -180,7 +185,7 @@ QUERIES: dict[str, Query] = {
     "term_frequency": _tf,
     "doc_length": lambda s, d: weights.doc_length(features(s, d)).select("id", F.col("num_words").cast("long").alias("num_words")),
     "doc_norm": lambda s, d: _rounded(weights.doc_norm(_tf(s, d)), "norm"),
-    "postings_impact": lambda s, d: _rounded(_index(s, d).postings, "impact"),
+    "postings_impact": lambda s, d: _rounded(_postings(s, d), "impact"),
     "document_frequency": lambda s, d: weights.document_frequency(_tf(s, d)),
     "vocabulary_size": lambda s, d: weights.vocabulary_size(_tf(s, d)),
     "vocabulary_ids": vocabulary,
@@ -189,7 +194,7 @@ QUERIES: dict[str, Query] = {
     "df_lookup": df_lookup,
     "query_weights": query_weights,
     "theta_relevance": lambda s, d: _rounded(search.theta(_index(s, d), KEYWORDS), "theta"),
-    "term_source": lambda s, d: _rounded(weights.term_source(_index(s, d).postings, "hand"), "impact"),
+    "term_source": lambda s, d: _rounded(weights.term_source(_index(s, d, "hand").postings, "hand"), "impact"),
     "scored_source": scored_source,
     "mbr_keyword": lambda s, d: search.in_rectangle(_index(s, d), *RECT, KEYWORDS),
     "tksk_alpha": lambda s, d: search.blended(_index(s, d), *POINT, DIAGONAL, KEYWORDS, K, ALPHA),
