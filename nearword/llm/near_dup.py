@@ -16,11 +16,13 @@ Links are exact: each is confirmed on the two full sets. The steps:
    the largest are compared with a few random members of it, a few buckets each, and components are found
    anew; the rounds leave documents that have no link to most of their bucket.
 4. These are compared with all members of other components in their buckets, which makes the result exact;
-   a bucket's largest component is only met, never joined with itself.
+   a bucket's largest component is only met, never joined with itself, and a pair is formed in the first of
+   the buckets that it shares alone.
 
 Before texts are fetched, pairs whose set sizes exclude the threshold are left out, and those whose sketches
 (two bits of each signature value) agree in fewer places than a pair at the threshold does but once in
-10**6.
+10**6. For the last step, sketches are of 2048 values: they leave out pairs below about J = 0.75, so what is
+formed and verified are links and close misses.
 
 Defined cases: null, empty and blank texts have the empty set and are linked with nothing. A text of fewer
 than ``n`` words is one shingle. A null ``doc_id`` is returned with a null component and kept. Rows with
@@ -63,17 +65,14 @@ class Rule:
     def permutations(self) -> int:
         return self.bands * self.rows // (2 if self.paired else 1)
 
-    @property
-    def sketch_limit(self) -> int:
+    def sketch_limit(self, values: int) -> int:
         """Values in which sketches may differ: the mean at the threshold and 4.75 standard deviations."""
-        values, differ = self.bands * self.rows, 0.75 * (1 - self.over / self.of)
+        differ = 0.75 * (1 - self.over / self.of)
         return int(values * differ + 4.75 * (values * differ * (1 - differ)) ** 0.5)
 
-    @property
-    def sketch_longs(self) -> int:
-        return -(-self.bands * self.rows // 32)
-
 
+#: Values of the sketches for the last step.
+FINE = 2048
 #: How many random members of the largest component a document is compared with, by round.
 TRIES = (3, 9, 27)
 
@@ -147,14 +146,49 @@ def signed(docs: DataFrame, rule: Rule) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, set_key binary, bands array<long>, sketch array<long>")
 
 
-def possible(rule: Rule) -> Column:
+def longs_of(values: int) -> int:
+    """How many longs a sketch of so many values has."""
+    return -(-values // 32)
+
+
+def possible(rule: Rule, values: int) -> Column:
     """Whether sizes (n, m) and sketches (s.., t..) of a pair leave it possible that it reaches the threshold."""
     few, many = F.least("n", "m"), F.greatest("n", "m")
     differ = F.lit(0)
-    for i in range(rule.sketch_longs):
+    for i in range(longs_of(values)):
         x = F.col(f"s{i}").bitwiseXOR(F.col(f"t{i}"))
         differ = differ + F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555)))
-    return (few * rule.of >= many * rule.over) & (differ <= rule.sketch_limit)
+    return (few * rule.of >= many * rule.over) & (differ <= rule.sketch_limit(values))
+
+
+def detailed(texts: DataFrame, rule: Rule) -> DataFrame:
+    """(rep, m, t.., v..) of each text: its set's size, FINE sketch, and halves of its band keys, two in a long."""
+    longs, halves = longs_of(FINE), -(-rule.bands // 2)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in textbytes.slices(batch, "text"):
+                hashes, first = textbytes.distinct_shingles(part.column("text"), rule.n)
+                fine = sketches(signatures(hashes, first, FINE // 2, True))
+                keys = band_keys(signatures(hashes, first, rule.permutations, rule.paired), rule.bands, rule.rows).view(np.uint64) >> np.uint64(32)
+                padded = np.zeros((len(keys), 2 * halves), np.uint64)
+                padded[:, : rule.bands] = keys
+                packed = (padded[:, ::2] << np.uint64(32) | padded[:, 1::2]).view(np.int64)
+                columns = [part.column("doc_id").cast(pa.int64()), pa.array(np.diff(first)), *(pa.array(c) for c in fine.T), *(pa.array(c) for c in packed.T)]
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+    names = ["rep", "m", *(f"t{i}" for i in range(longs)), *(f"v{i}" for i in range(halves))]
+    return texts.select("doc_id", "text").mapInArrow(run, ", ".join(f"{n} long" for n in names))
+
+
+def first_shared(rule: Rule) -> Column:
+    """Whether no band before ``band`` is equal too: a pair (u.., v..) is formed in the first bucket it shares."""
+    out = F.lit(True)
+    for j in range(rule.bands):
+        x = F.col(f"u{j // 2}").bitwiseXOR(F.col(f"v{j // 2}"))
+        half = F.shiftrightunsigned(x, 32) if j % 2 == 0 else x.bitwiseAND(F.lit(0xFFFFFFFF))
+        out = out & ((F.col("band") <= j) | (half != 0))
+    return out
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
@@ -187,8 +221,8 @@ def confirmed(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
 
 
 def unsettled_members(members: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
-    """(bucket, rep, label, main, k) of the buckets with several components: main is the largest and k its size there."""
-    placed = members.select("bucket", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("label", "rep").alias("label"))
+    """(bucket, band, rep, label, main, k) of the buckets with several components: main is the largest and k its size there."""
+    placed = members.select("bucket", "band", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "band", "rep", F.coalesce("label", "rep").alias("label"))
     counts = placed.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("k"))
     mixed = counts.groupBy("bucket").agg(F.max(F.struct("k", "label")).alias("most"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
     return scratch.cut(placed.join(mixed.select("bucket", F.col("most.label").alias("main"), F.col("most.k").alias("k")), "bucket"), "unsettled")
@@ -196,11 +230,12 @@ def unsettled_members(members: DataFrame, labels: DataFrame, scratch: Scratch) -
 
 def links(reps: DataFrame, docs: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame:
     """All links (a, b) that join components, between representatives (rep, n, bands, sketch); not all links inside one."""
-    longs = range(rule.sketch_longs)
+    values = rule.bands * rule.rows
+    longs = range(longs_of(values))
     nodes = scratch.cut(reps.select("rep", "n", *[F.col("sketch")[i].alias(f"s{i}") for i in longs]), "nodes")
     left = nodes.withColumnRenamed("rep", "a")
     right = nodes.select(F.col("rep").alias("b"), F.col("n").alias("m"), *[F.col(f"s{i}").alias(f"t{i}") for i in longs])
-    every = reps.select("rep", F.explode("bands").alias("bucket"))
+    every = reps.select("rep", F.posexplode("bands").alias("band", "bucket"))
     shared = every.groupBy("bucket").agg(F.min(F.xxhash64("rep")).alias("pivot"), F.max(F.xxhash64("rep")).alias("__last")).where("pivot != __last").drop("__last")
     members = scratch.cut(every.join(shared, "bucket"), "members")  # buckets of two or more, each row with its pivot's hash
     texts = docs.where("doc_id IS NOT NULL").select("doc_id", "text").join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
@@ -214,23 +249,25 @@ def links(reps: DataFrame, docs: DataFrame, rule: Rule, scratch: Scratch) -> Dat
 
     pivots = nodes.select(F.col("rep").alias("a"), F.xxhash64("rep").alias("pivot"))
     star = ordered(members.select(F.col("rep").alias("b"), "pivot").distinct().join(pivots, "pivot").select("a", "b"))
-    found = tried(star.join(left, "a").join(right, "b").where(possible(rule)).select("a", "b"))
+    found = tried(star.join(left, "a").join(right, "b").where(possible(rule, values)).select("a", "b"))
     unsettled = unsettled_members(members, components(found, scratch), scratch)
     for tries in TRIES:
         partner = unsettled.where("label = main AND k > 1").groupBy("bucket").agg(F.min_by("rep", F.xxhash64("rep", "bucket")).alias("b"))
         strays = unsettled.where("label != main AND k > 1").select("bucket", F.col("rep").alias("a")).join(partner, "bucket")
         turn = F.row_number().over(Window.partitionBy("a").orderBy(F.xxhash64("bucket", F.lit(tries))))
         some = ordered(strays.withColumn("turn", turn).where(F.col("turn") <= tries).select("a", "b"))
-        more = tried(some.join(left, "a").join(right, "b").where(possible(rule)).select("a", "b"))
+        more = tried(some.join(left, "a").join(right, "b").where(possible(rule, values)).select("a", "b"))
         if more.isEmpty():
             break
         found = found.union(more)
         unsettled = unsettled_members(members, components(found, scratch), scratch)
-    wide = unsettled.drop("k").join(nodes, "rep")
-    one = wide.where("label != main")
-    two = wide.select("bucket", F.col("rep").alias("b"), F.col("label").alias("other"), F.col("n").alias("m"), *[F.col(f"s{i}").alias(f"t{i}") for i in longs])
-    once = (F.col("label") != F.col("other")) & ((F.col("other") == F.col("main")) | (F.col("rep") < F.col("b")))
-    rest = ordered(one.join(two, "bucket").where(once & possible(rule)).select(F.col("rep").alias("a"), "b"))
+    left_over = texts.join(unsettled.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    wide = unsettled.drop("k").join(scratch.cut(detailed(left_over, rule), "detailed"), "rep")
+    own = {"rep": "a", "m": "n"} | {f"t{i}": f"s{i}" for i in range(longs_of(FINE))} | {f"v{i}": f"u{i}" for i in range(-(-rule.bands // 2))}
+    one = wide.where("label != main").withColumnsRenamed(own)
+    two = wide.drop("band", "main").withColumnsRenamed({"rep": "b", "label": "other"})
+    once = (F.col("label") != F.col("other")) & ((F.col("other") == F.col("main")) | (F.col("a") < F.col("b")))
+    rest = ordered(one.join(two, "bucket").where(once & possible(rule, FINE) & first_shared(rule)).select("a", "b"))
     return found.union(tried(rest))
 
 
