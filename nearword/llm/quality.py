@@ -34,7 +34,7 @@ from nearword.llm.storage import Scratch
 BUCKETS = 1 << 13
 UNIT = 1 << 20
 #: Labelled texts of each kind that the target model and the cut are fitted on, and their bytes in all.
-SAMPLE, SAMPLE_BYTES = 4000, 32 << 20
+SAMPLE, SAMPLE_BYTES = 3000, 16 << 20
 #: Pseudo-counts that the target model takes from the raw one, for each of its own.
 PRIOR = 0.3
 #: What losing a good text weighs against keeping a bad one, for the cut.
@@ -96,6 +96,14 @@ def weights(texts: pa.Array, ratio: np.ndarray) -> np.ndarray:
     return reach[first[1:]] - reach[first[:-1]]
 
 
+def counts_of(texts: pa.Array) -> np.ndarray:
+    """How often each bucket occurs in the texts."""
+    out = np.zeros(BUCKETS, np.int64)
+    for part in textbytes.slices(pa.record_batch({"text": texts}), "text"):
+        out += np.bincount(grams(part.column("text"))[0], minlength=BUCKETS)
+    return out
+
+
 def noise(ids: np.ndarray, seed: int = SEED) -> np.ndarray:
     """Gumbel noise of each id."""
     u = (textbytes.mix64(ids.astype(np.int64).view(np.uint64) + np.uint64(seed) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(12)).astype(np.float64)
@@ -156,12 +164,12 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     raw = raw_counts(docs)
     good = np.flatnonzero(quality == 1)
     unseen = good[::3] if len(good) > 2 else good  # the cut is fitted on texts that the model hasn't seen
-    target = np.bincount(grams(texts.take(pa.array(np.setdiff1d(good, unseen) if len(good) > 2 else good)))[0], minlength=BUCKETS)
+    target = counts_of(texts.take(pa.array(np.setdiff1d(good, unseen) if len(good) > 2 else good)))
     share, prior = raw / max(raw.sum(), 1), PRIOR * max(target.sum(), 1)
     with np.errstate(divide="ignore", invalid="ignore"):
         ratio = np.log((target + prior * share) / (target.sum() + prior)) - np.log(share)
     units = np.where(raw > 0, np.rint(np.nan_to_num(ratio, nan=0.0, posinf=0.0, neginf=0.0) * UNIT), 0).astype(np.int64)
-    found = weights(texts, units)
+    found = np.concatenate([weights(part.column("text"), units) for part in textbytes.slices(pa.record_batch({"text": texts}), "text")])
     return Model(units, cut_between(found[unseen], found[quality == 0]))
 
 
