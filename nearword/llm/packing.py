@@ -109,7 +109,7 @@ def best_fit(counts: dict[int, int], capacity: int) -> Counter[Bin]:
             left -= min(left, bins * each)
     for kinds in open_bins.values():
         done.update(kinds)
-    return done
+    return +done
 
 
 def _exchange(a: Bin, b: Bin, capacity: int) -> tuple[Bin, Bin] | None:

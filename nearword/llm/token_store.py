@@ -122,14 +122,14 @@ class Reader:
             yield parts[0] if len(parts) == 1 else np.concatenate(parts)
 
 
-def write(docs: DataFrame, folder: str, vocabulary: str, end: int = 0, file_tokens: int = FILE_TOKENS) -> DataFrame:
+def write(docs: DataFrame, folder: str, vocabulary: str, end: int = 0, file_tokens: int = FILE_TOKENS, slice_bytes: int = tokenizing.SLICE_BYTES) -> DataFrame:
     """Tokenize and write all documents; returns the manifest, a row per file: part, seq, file, n_docs, n_tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq, made, writer = TaskContext.get().partitionId(), 0, [], None
         encoder = tokenizing.encoder(vocabulary)
         for batch in batches:
-            for piece in textbytes.slices(batch, "text", tokenizing.SLICE_BYTES):
+            for piece in textbytes.slices(batch, "text", slice_bytes):
                 ids, first = encoder.encode(piece.column("text"), end)
                 names = np.asarray(piece.column("doc_id").fill_null(_NULL)).astype(np.int64)
                 if writer is None:
