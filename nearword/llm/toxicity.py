@@ -37,7 +37,7 @@ _FOLD[~_LETTERS] = 0x20
 
 @dataclass(frozen=True)
 class Settings:
-    """``grams``: lengths of n-grams in bytes, the spaces around a word included."""
+    """``grams``: lengths of n-grams in bytes, the spaces around a word included. ``sharpness``: of the smooth maximum that documents are scored by; training has 1, so that all passages learn."""
 
     sample: int = 1200
     sample_bytes: int = 10 << 20
@@ -48,7 +48,7 @@ class Settings:
     epochs: int = 20
     rate: float = 0.15
     decay: float = 1e-4
-    sharpness: float = 1.0
+    sharpness: float = 8.0
     seed: int = 5
 
 
@@ -166,9 +166,9 @@ def fit(texts: pa.Array, labels: np.ndarray, settings: Settings = Settings(), pr
         vectors = np.stack([np.add.reduceat(row[grams], gram_first[:-1]) for row in embedding]) / sizes.astype(np.float32)
         words = softmax @ vectors + bias
         values = words[word_of]
-        pool = pooled(values.astype(np.float64), first, float(bias), settings.sharpness)
+        pool = pooled(values.astype(np.float64), first, float(bias), 1.0)
         error = (probability(pool) - labels) * balance
-        weight = np.exp(settings.sharpness * (values - pool[doc_of])) * error[doc_of]
+        weight = np.exp(values - pool[doc_of]) * error[doc_of]
         slope = np.add.reduceat(weight[in_docs], word_begin).astype(np.float32)
         spread = slope / sizes.astype(np.float32)
         to_embedding = softmax[:, None] * np.add.reduceat(spread[word_sorted], gram_begin)[None, :] + np.float32(settings.decay / len(used)) * embedding
