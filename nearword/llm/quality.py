@@ -106,7 +106,7 @@ def counts_of(texts: pa.Array) -> np.ndarray:
 
 def noise(ids: np.ndarray, seed: int = SEED) -> np.ndarray:
     """Gumbel noise of each id."""
-    u = (textbytes.mix64(ids.astype(np.int64).view(np.uint64) + np.uint64(seed) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(12)).astype(np.float64)
+    u = (textbytes.mix64(ids.astype(np.int64).view(np.uint64) + np.uint64(seed * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) >> np.uint64(12)).astype(np.float64)
     return -np.log(-np.log((u + 0.5) / (1 << 52)))
 
 

@@ -55,8 +55,7 @@ def assign(totals: list[tuple[int, int]], shards: int) -> list[int]:
 def rebalance(current: list[int], totals: list[tuple[int, int]], shards: int) -> list[int]:
     """A map for ``shards`` shards that moves few slots: only out of shards above the mean, or that are gone.
 
-    With one more shard than before, slots move only into the new one or from fuller to emptier shards;
-    with the same sizes as when the map was made, only into the new one.
+    Where there are more shards than before, slots move into the new ones only.
     """
     out = list(current)
     held: dict[int, list[int]] = {s: [] for s in range(shards)}
@@ -66,11 +65,12 @@ def rebalance(current: list[int], totals: list[tuple[int, int]], shards: int) ->
     size = {s: sum(totals[x][0] for x in held[s]) for s in range(shards)}
     mean = sum(t[0] for t in totals) / shards
     for shard in range(shards):
-        for slot in sorted(held[shard], key=lambda x: (totals[x][0], x)):
-            if totals[slot][0] and size[shard] - totals[slot][0] >= mean:
+        for slot in sorted(held[shard], key=lambda x: (-totals[x][0], x)):
+            if 0 < totals[slot][0] <= size[shard] - mean:
                 size[shard] -= totals[slot][0]
                 loose.append(slot)
-    heap = [(size[s], s) for s in range(shards)]
+    before = max(current, default=-1) + 1
+    heap = [(size[s], s) for s in range(before if shards > before else 0, shards)]
     heapq.heapify(heap)
     for slot in sorted(loose, key=lambda x: (-totals[x][0], x)):
         now, shard = heapq.heappop(heap)

@@ -1,19 +1,6 @@
 import random
 
 import pytest
-from pyspark.sql import Row
-
-
-def words(text):
-    """Words of the contract: runs outside [\\x20\\x09-\\x0D], A-Z in lower case."""
-    import re
-
-    return re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
-
-
-def shingles(text, n):
-    w = words(text)
-    return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else ({tuple(w)} if w else set())
 
 
 @pytest.fixture(scope="session")
@@ -39,7 +26,3 @@ def no_docs(edge_docs):
 def vocabulary_path():
     tokenizers = pytest.importorskip("public_tokenizers")
     return tokenizers.path("byte_bpe_50k.json")
-
-
-def as_dict(rows: list[Row], key: str = "doc_id") -> dict:
-    return {r[key]: r for r in rows}
