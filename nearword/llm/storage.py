@@ -28,8 +28,13 @@ def shared_dir(spark: SparkSession) -> str:
 _shipped: set[str] = set()
 
 
+#: Bytes of rows that Python workers get at once.
+BATCH_BYTES = 8 << 20
+
+
 def ship(spark: SparkSession) -> None:
-    """Give the executors' Python this package, once per application, wherever the driver has it from."""
+    """Make the session ready for the operators: the executors' Python has this package, wherever the driver has it from, and Arrow batches are small."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return

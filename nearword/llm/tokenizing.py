@@ -154,6 +154,7 @@ class Encoder:
         return joined, ended
 
 
+#: Encoders by path, one for each process.
 _encoders: dict[str, Encoder] = {}
 
 

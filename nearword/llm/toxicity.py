@@ -141,7 +141,7 @@ def fit(texts: pa.Array, labels: np.ndarray, settings: Settings = Settings(), pr
     prior = share if prior is None else prior
     if not 0 < share < 1:
         base = np.clip(prior, 1e-6, 1 - 1e-6)
-        return Model(settings, np.zeros(settings.buckets, np.float32), float(np.log(base / (1 - base))), 1.0, 0.0)
+        return Model(settings, np.zeros(settings.buckets, np.float32), 0.0, 0.0, float(np.log(base / (1 - base))))
     word_of, first, grams, gram_first = _bags(texts, settings)
     rng = np.random.default_rng(settings.seed)
     used, grams = np.unique(grams, return_inverse=True)
