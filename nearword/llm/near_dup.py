@@ -21,8 +21,8 @@ Links are exact: each is confirmed on the two full sets. The steps:
 
 Before texts are fetched, pairs whose set sizes exclude the threshold are left out, and those whose sketches
 (two bits of each signature value) agree in fewer places than a pair at the threshold does but once in
-10**6. For the last step, sketches are of 2048 values: they leave out pairs below about J = 0.75, so what is
-formed and verified are links and close misses.
+10**6. For the last step, sketches have one bit of 6144 values: they leave out pairs below about J = 0.76, so
+what is formed and verified are links and close misses.
 
 Defined cases: null, empty and blank texts have the empty set and are linked with nothing. A text of fewer
 than ``n`` words is one shingle. A null ``doc_id`` is returned with a null component and kept. Rows with
@@ -65,14 +65,14 @@ class Rule:
     def permutations(self) -> int:
         return self.bands * self.rows // (2 if self.paired else 1)
 
-    def sketch_limit(self, values: int) -> int:
-        """Values in which sketches may differ: the mean at the threshold and 4.75 standard deviations."""
-        differ = 0.75 * (1 - self.over / self.of)
+    def sketch_limit(self, values: int, bits: int) -> int:
+        """Values in which sketches of so many bits a value may differ: the mean at the threshold and 4.75 standard deviations."""
+        differ = (1 - 2.0**-bits) * (1 - self.over / self.of)
         return int(values * differ + 4.75 * (values * differ * (1 - differ)) ** 0.5)
 
 
-#: Values of the sketches for the last step.
-FINE = 2048
+#: Values of the sketches for the last step, one bit each; others have two.
+FINE = 6144
 #: How many random members of the largest component a document is compared with, by round.
 TRIES = (3, 9, 27)
 
@@ -114,13 +114,14 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return out.view(np.int64)
 
 
-def sketches(signature: np.ndarray) -> np.ndarray:
-    """(sets, longs) int64: two bits of a hash of each signature value, 32 values a long."""
+def sketches(signature: np.ndarray, bits: int) -> np.ndarray:
+    """(sets, longs) int64: one or two bits of a hash of each signature value, packed."""
     mixed = (signature ^ (signature >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
-    longs = -(-signature.shape[1] // 32)
-    bits = np.zeros((len(signature), longs * 32), np.uint64)
-    bits[:, : signature.shape[1]] = mixed >> np.uint32(30)
-    shifted = bits.reshape(len(signature), longs, 32) << (2 * np.arange(32, dtype=np.uint64))
+    each = 64 // bits
+    longs = -(-signature.shape[1] // each)
+    padded = np.zeros((len(signature), longs * each), np.uint64)
+    padded[:, : signature.shape[1]] = mixed >> np.uint32(32 - bits)
+    shifted = padded.reshape(len(signature), longs, each) << (bits * np.arange(each, dtype=np.uint64))
     return np.bitwise_or.reduce(shifted, axis=2).view(np.int64)
 
 
@@ -135,7 +136,7 @@ def signed(docs: DataFrame, rule: Rule) -> DataFrame:
                 full = counts > 0
                 keys = [hashlib.blake2b(hashes[a:b], digest_size=16).digest() if b > a else None for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
                 signature = signatures(hashes, np.append(first[:-1][full], first[-1]), rule.permutations, rule.paired)
-                bands, sketch = band_keys(signature, rule.bands, rule.rows), sketches(signature)
+                bands, sketch = band_keys(signature, rule.bands, rule.rows), sketches(signature, 2)
                 lists = []
                 for values in (bands, sketch):
                     width = values.shape[1]
@@ -146,30 +147,30 @@ def signed(docs: DataFrame, rule: Rule) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, set_key binary, bands array<long>, sketch array<long>")
 
 
-def longs_of(values: int) -> int:
-    """How many longs a sketch of so many values has."""
-    return -(-values // 32)
+def longs_of(values: int, bits: int) -> int:
+    """How many longs a sketch has."""
+    return -(-values * bits // 64)
 
 
-def possible(rule: Rule, values: int) -> Column:
+def possible(rule: Rule, values: int, bits: int) -> Column:
     """Whether sizes (n, m) and sketches (s.., t..) of a pair leave it possible that it reaches the threshold."""
     few, many = F.least("n", "m"), F.greatest("n", "m")
     differ = F.lit(0)
-    for i in range(longs_of(values)):
+    for i in range(longs_of(values, bits)):
         x = F.col(f"s{i}").bitwiseXOR(F.col(f"t{i}"))
-        differ = differ + F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555)))
-    return (few * rule.of >= many * rule.over) & (differ <= rule.sketch_limit(values))
+        differ = differ + F.bit_count(x if bits == 1 else x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555)))
+    return (few * rule.of >= many * rule.over) & (differ <= rule.sketch_limit(values, bits))
 
 
 def detailed(texts: DataFrame, rule: Rule) -> DataFrame:
     """(rep, m, t.., v..) of each text: its set's size, FINE sketch, and halves of its band keys, two in a long."""
-    longs, halves = longs_of(FINE), -(-rule.bands // 2)
+    longs, halves = longs_of(FINE, 1), -(-rule.bands // 2)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in textbytes.slices(batch, "text"):
                 hashes, first = textbytes.distinct_shingles(part.column("text"), rule.n)
-                fine = sketches(signatures(hashes, first, FINE // 2, True))
+                fine = sketches(signatures(hashes, first, FINE // 2, True), 1)
                 keys = band_keys(signatures(hashes, first, rule.permutations, rule.paired), rule.bands, rule.rows).view(np.uint64) >> np.uint64(32)
                 padded = np.zeros((len(keys), 2 * halves), np.uint64)
                 padded[:, : rule.bands] = keys
@@ -231,7 +232,7 @@ def unsettled_members(members: DataFrame, labels: DataFrame, scratch: Scratch) -
 def links(reps: DataFrame, docs: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame:
     """All links (a, b) that join components, between representatives (rep, n, bands, sketch); not all links inside one."""
     values = rule.bands * rule.rows
-    longs = range(longs_of(values))
+    longs = range(longs_of(values, 2))
     nodes = scratch.cut(reps.select("rep", "n", *[F.col("sketch")[i].alias(f"s{i}") for i in longs]), "nodes")
     left = nodes.withColumnRenamed("rep", "a")
     right = nodes.select(F.col("rep").alias("b"), F.col("n").alias("m"), *[F.col(f"s{i}").alias(f"t{i}") for i in longs])
@@ -244,30 +245,35 @@ def links(reps: DataFrame, docs: DataFrame, rule: Rule, scratch: Scratch) -> Dat
     def ordered(pairs: DataFrame) -> DataFrame:
         return pairs.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
+    asked: list[DataFrame] = []
+
     def tried(pairs: DataFrame) -> DataFrame:
-        return scratch.cut(confirmed(scratch.cut(pairs, "asked"), texts, rule), "links").select("a", "b")
+        for before in asked:
+            pairs = pairs.join(before, ["a", "b"], "left_anti")
+        asked.append(scratch.cut(pairs, "asked"))
+        return scratch.cut(confirmed(asked[-1], texts, rule), "links").select("a", "b")
 
     pivots = nodes.select(F.col("rep").alias("a"), F.xxhash64("rep").alias("pivot"))
     star = ordered(members.select(F.col("rep").alias("b"), "pivot").distinct().join(pivots, "pivot").select("a", "b"))
-    found = tried(star.join(left, "a").join(right, "b").where(possible(rule, values)).select("a", "b"))
+    found = tried(star.join(left, "a").join(right, "b").where(possible(rule, values, 2)).select("a", "b"))
     unsettled = unsettled_members(members, components(found, scratch), scratch)
     for tries in TRIES:
         partner = unsettled.where("label = main AND k > 1").groupBy("bucket").agg(F.min_by("rep", F.xxhash64("rep", "bucket")).alias("b"))
         strays = unsettled.where("label != main AND k > 1").select("bucket", F.col("rep").alias("a")).join(partner, "bucket")
         turn = F.row_number().over(Window.partitionBy("a").orderBy(F.xxhash64("bucket", F.lit(tries))))
         some = ordered(strays.withColumn("turn", turn).where(F.col("turn") <= tries).select("a", "b"))
-        more = tried(some.join(left, "a").join(right, "b").where(possible(rule, values)).select("a", "b"))
+        more = tried(some.join(left, "a").join(right, "b").where(possible(rule, values, 2)).select("a", "b"))
         if more.isEmpty():
             break
         found = found.union(more)
         unsettled = unsettled_members(members, components(found, scratch), scratch)
     left_over = texts.join(unsettled.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
     wide = unsettled.drop("k").join(scratch.cut(detailed(left_over, rule), "detailed"), "rep")
-    own = {"rep": "a", "m": "n"} | {f"t{i}": f"s{i}" for i in range(longs_of(FINE))} | {f"v{i}": f"u{i}" for i in range(-(-rule.bands // 2))}
+    own = {"rep": "a", "m": "n"} | {f"t{i}": f"s{i}" for i in range(longs_of(FINE, 1))} | {f"v{i}": f"u{i}" for i in range(-(-rule.bands // 2))}
     one = wide.where("label != main").withColumnsRenamed(own)
     two = wide.drop("band", "main").withColumnsRenamed({"rep": "b", "label": "other"})
     once = (F.col("label") != F.col("other")) & ((F.col("other") == F.col("main")) | (F.col("a") < F.col("b")))
-    rest = ordered(one.join(two, "bucket").where(once & possible(rule, FINE) & first_shared(rule)).select("a", "b"))
+    rest = ordered(one.join(two, "bucket").where(once & possible(rule, FINE, 1) & first_shared(rule)).select("a", "b"))
     return found.union(tried(rest))
 
 
