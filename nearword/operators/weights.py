@@ -70,10 +70,10 @@ def query_weights(terms: DataFrame, term_info: DataFrame, n_features: DataFrame)
 
     As many rows as the query has terms; ``term_info`` is reached by the terms, which are the broadcast side.
     """
-    known = term_info.join(F.broadcast(terms), "term").crossJoin(F.broadcast(n_features))  # one row of N
-    weighted = known.select("term", formulas.query_weight(F.col("n_features"), F.col("df")).alias("qw"))
-    length = weighted.agg(formulas.norm(F.col("qw")).alias("ql"))
-    return weighted.crossJoin(F.broadcast(length))
+    known = term_info.join(F.broadcast(terms), "term")
+    weighted = known.select("term", formulas.query_weight(n_features.scalar(), F.col("df")).alias("qw"))
+    length = F.sqrt(F.sum(F.col("qw") * F.col("qw")).over(Window.partitionBy(F.lit(0))))  # over the query's own terms
+    return weighted.select("term", "qw", length.alias("ql"))
 
 
 def relevance(postings: DataFrame, weights: DataFrame, keep: tuple[str, ...] = ("id", "lat", "lon")) -> DataFrame:

@@ -156,7 +156,7 @@ def build_stats(features: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n_features"), F.sum(F.col("w").cast("long")).alias("total_words"), F.count("d").alias("dataset_lines"), F.sum(F.col("d").cast("long")).alias("n_postings"), F.avg(F.col("d").cast("double")).alias("avg_distinct_terms"), F.avg(F.col("c").cast("double")).alias("avg_line_length")
     )
     terms = features.select(F.explode(formulas.tokens(F.col("text"))).alias("term")).agg(F.count_distinct("term").alias("n_terms"))
-    return totals.crossJoin(F.broadcast(terms)).withColumn("list_bytes", F.col("n_postings") * POSTING_BYTES["s2i"])  # one row each
+    return totals.withColumn("n_terms", terms.scalar()).withColumn("list_bytes", F.col("n_postings") * POSTING_BYTES["s2i"])
 
 
 def built_message(index: Index) -> DataFrame:

@@ -134,7 +134,7 @@ def index_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     index.append(spark, path, every.where(later))
     i = index.open_index(spark, path)
     own = i.postings.groupBy("term").agg(F.count(F.lit(1)).alias("n_postings"))
-    return i.term_info.select("term", "df", "hot").join(own, "term").crossJoin(F.broadcast(i.meta))  # one row of N
+    return i.term_info.select("term", "df", "hot").join(own, "term").withColumn("n_features", i.meta.scalar())
 
 
 def feature_file(spark: SparkSession, sf_dir: str) -> DataFrame:
