@@ -5,6 +5,8 @@
     meta        n_features
     doc_length  id, num_words
 
+Each is a folder of batches: the build's, ``base``, and one for each append.
+
 ``hot`` says that a term has more postings than a block of the list storage holds. On disk, postings are
 range-partitioned and sorted by term and then cell, so that row-group statistics prune terms and places; a
 frequent term spreads over as many files as its cells need.
@@ -12,6 +14,7 @@ frequent term spreads over as many files as its cells need.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -101,37 +104,48 @@ def _clustered(postings: DataFrame) -> DataFrame:
     return rows.repartitionByRange("term", "__x", "__y", "id").sortWithinPartitions("term", "__x", "__y", "id").drop("__x", "__y")
 
 
+def _write(index: Index, path: str, batch: str, mode: str) -> None:
+    """Write all tables into their folders for ``batch``, meta last."""
+    at = lambda name: f"{path}/{name}/batch={batch}"
+    _clustered(index.postings).write.mode(mode).parquet(at("postings"))
+    index.term_info.repartitionByRange("term").sortWithinPartitions("term").write.mode(mode).parquet(at("term_info"))
+    index.doc_length.write.mode(mode).parquet(at("doc_length"))
+    index.meta.coalesce(1).write.mode(mode).parquet(at("meta"))
+
+
 def save(index: Index, path: str, mode: str = "error") -> None:
-    """Write all tables below ``path``; each is committed whole by Spark's writer, meta last."""
-    _clustered(index.postings).write.mode(mode).parquet(f"{path}/postings")
-    index.term_info.repartitionByRange("term").sortWithinPartitions("term").write.mode(mode).parquet(f"{path}/term_info")
-    index.doc_length.write.mode(mode).parquet(f"{path}/doc_length")
-    index.meta.coalesce(1).write.mode(mode).parquet(f"{path}/meta")
+    """Write all tables below ``path``; each is committed whole by Spark's writer."""
+    if mode == "overwrite":
+        hadoop = index.meta.sparkSession.sparkContext
+        root = hadoop._jvm.org.apache.hadoop.fs.Path(path)
+        root.getFileSystem(hadoop._jsc.hadoopConfiguration()).delete(root, True)
+    _write(index, path, "base", mode)
 
 
 def open_index(spark: SparkSession, path: str) -> Index:
     """The tables at ``path``. After appends, df and N are sums over what was written; ids stay as first given."""
-    postings, info, meta, length = (spark.read.parquet(f"{path}/{name}") for name in TABLES)
+    postings, info, meta, length = (spark.read.parquet(f"{path}/{name}").drop("batch") for name in TABLES)
     df = F.sum("df").alias("df")
     return Index(postings, info.groupBy("term").agg(F.min("term_id").alias("term_id"), df).withColumn("hot", hot(F.col("df"))), meta.agg(F.sum("n_features").alias("n_features")), length)
 
 
-def append(spark: SparkSession, path: str, features: DataFrame) -> None:
+def append(spark: SparkSession, path: str, features: DataFrame, batch: str | None = None) -> None:
     """Insert features after the build: new postings, lengths, and additions to df and N.
 
     A text's impacts depend on that text alone, so postings that exist stay right. Ids are not updated and
-    nothing is deleted. New terms get ids after those there are.
+    nothing is deleted. New terms get ids after those there are. A batch that is appended again under its
+    name takes the place of what it wrote before, also of what a failed attempt left.
     """
+    batch = batch or uuid.uuid4().hex
     new = build(features)
-    old = spark.read.parquet(f"{path}/term_info").select("term", F.col("term_id").alias("known")).groupBy("term").agg(F.min("known").alias("known"))
-    base = spark.read.parquet(f"{path}/term_info").agg(F.coalesce(F.max("term_id") + 1, F.lit(0))).first()[0]
+    before = spark.read.parquet(f"{path}/term_info").where(F.col("batch").cast("string") != batch)
+    old = before.groupBy("term").agg(F.min("term_id").alias("known"))
+    base = before.agg(F.coalesce(F.max("term_id") + 1, F.lit(0))).first()[0]
     counts = new.term_info.select("term", "df").join(old, "term", "left")
     fresh = numbered_terms(counts.where("known IS NULL").select("term", "df")).withColumn("term_id", F.col("term_id") + base)
     added = counts.where("known IS NOT NULL").select("term", F.col("known").alias("term_id"), "df").unionByName(fresh.select("term", "term_id", "df"))
-    _clustered(new.postings).write.mode("append").parquet(f"{path}/postings")
-    new.doc_length.write.mode("append").parquet(f"{path}/doc_length")
-    added.select("term", "term_id", "df", hot(F.col("df")).alias("hot")).write.mode("append").parquet(f"{path}/term_info")
-    new.meta.write.mode("append").parquet(f"{path}/meta")
+    info = cut(added.select("term", "term_id", "df", hot(F.col("df")).alias("hot")), "appended-terms")
+    _write(Index(new.postings, info, new.meta, new.doc_length), path, batch, "overwrite")
 
 
 def compacted(postings: DataFrame, term_info: DataFrame, kind: str = "s2i") -> DataFrame:

@@ -2,32 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from nearword.plans import index
 
 
-def applied_batches(spark: SparkSession, path: str) -> DataFrame | None:
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    log = hadoop.Path(f"{path}/batches")
-    if not log.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(log):
-        return None
-    return spark.read.schema("batch long").parquet(f"{path}/batches")
-
-
 def append_batch(path: str):
-    """A foreachBatch function. A batch that was applied whole is not applied again."""
+    """A foreachBatch function. A batch that is replayed takes the place of what it wrote before."""
 
     def apply(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        done = applied_batches(spark, path)
-        if done is not None and not done.where(F.col("batch") == number).isEmpty():
-            return
         if not batch.isEmpty():
-            index.append(spark, path, batch)
-        spark.createDataFrame([(number,)], "batch long").coalesce(1).write.mode("append").parquet(f"{path}/batches")
+            index.append(batch.sparkSession, path, batch, f"stream-{number}")
 
     return apply
 

@@ -91,6 +91,6 @@ def test_streamed_index(spark, features, tmp_path):
     stream = spark.readStream.schema(features.schema).parquet(source)
     for _ in range(2):  # a second run finds nothing new
         ingest.ingest(stream, path, f"file://{tmp_path}/check").awaitTermination()
-    ingest.append_batch(path)(features, 0)  # a batch that was applied is left out
+    ingest.append_batch(path)(features.where("id >= 3"), 0)  # a batch that is replayed counts once
     opened = index.open_index(spark, path)
     assert info(opened) == {"sea": 2, "view": 1, "old": 1, "bar": 2} and opened.meta.first()[0] == 4
