@@ -13,8 +13,8 @@ Links are exact: each is confirmed on the two full sets. The steps:
 2. Class representatives are dealt to buckets by band. Of each bucket with two or more, one member, the
    pivot, is compared with all others: linear in the bucket, whatever its size.
 3. Components of the confirmed links. In buckets whose members are of several components yet, those outside
-   the largest are compared with a few random members of it, a few buckets each, and components are found
-   anew; the rounds leave documents that have no link to most of their bucket.
+   the largest are compared with random members of it, one in each of a few buckets, and components are found
+   anew; that leaves documents that have no link to most of their bucket.
 4. These are compared with all members of other components in their buckets, which makes the result exact;
    a bucket's largest component is only met, never joined with itself, and a pair is formed in the first of
    the buckets that it shares alone.
@@ -35,6 +35,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -73,8 +74,8 @@ class Rule:
 
 #: Values of the sketches for the last step, one bit each; others have two.
 FINE = 6144
-#: How many random members of the largest component a document is compared with, by round.
-TRIES = (3, 9, 27)
+#: How many random members of its buckets' largest components a stray document is compared with.
+TRIES = 16
 
 
 def affine(permutations: int, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
@@ -248,8 +249,8 @@ def links(reps: DataFrame, docs: DataFrame, rule: Rule, scratch: Scratch) -> Dat
     asked: list[DataFrame] = []
 
     def tried(pairs: DataFrame) -> DataFrame:
-        for before in asked:
-            pairs = pairs.join(before, ["a", "b"], "left_anti")
+        if asked:
+            pairs = pairs.join(reduce(DataFrame.union, asked), ["a", "b"], "left_anti")
         asked.append(scratch.cut(pairs, "asked"))
         return scratch.cut(confirmed(asked[-1], texts, rule), "links").select("a", "b")
 
@@ -257,14 +258,12 @@ def links(reps: DataFrame, docs: DataFrame, rule: Rule, scratch: Scratch) -> Dat
     star = ordered(members.select(F.col("rep").alias("b"), "pivot").distinct().join(pivots, "pivot").select("a", "b"))
     found = tried(star.join(left, "a").join(right, "b").where(possible(rule, values, 2)).select("a", "b"))
     unsettled = unsettled_members(members, components(found, scratch), scratch)
-    for tries in TRIES:
-        partner = unsettled.where("label = main AND k > 1").groupBy("bucket").agg(F.min_by("rep", F.xxhash64("rep", "bucket")).alias("b"))
-        strays = unsettled.where("label != main AND k > 1").select("bucket", F.col("rep").alias("a")).join(partner, "bucket")
-        turn = F.row_number().over(Window.partitionBy("a").orderBy(F.xxhash64("bucket", F.lit(tries))))
-        some = ordered(strays.withColumn("turn", turn).where(F.col("turn") <= tries).select("a", "b"))
-        more = tried(some.join(left, "a").join(right, "b").where(possible(rule, values, 2)).select("a", "b"))
-        if more.isEmpty():
-            break
+    partner = unsettled.where("label = main AND k > 1").groupBy("bucket").agg(F.min_by("rep", F.xxhash64("rep", "bucket")).alias("b"))
+    strays = unsettled.where("label != main AND k > 1").select("bucket", F.col("rep").alias("a")).join(partner, "bucket")
+    turn = F.row_number().over(Window.partitionBy("a").orderBy(F.xxhash64("bucket")))
+    some = ordered(strays.withColumn("turn", turn).where(F.col("turn") <= TRIES).select("a", "b"))
+    more = tried(some.join(left, "a").join(right, "b").where(possible(rule, values, 2)).select("a", "b"))
+    if not more.isEmpty():
         found = found.union(more)
         unsettled = unsettled_members(members, components(found, scratch), scratch)
     left_over = texts.join(unsettled.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
