@@ -176,3 +176,12 @@ def build_stats(features: DataFrame) -> DataFrame:
 def built_message(index: Index) -> DataFrame:
     """One row (message) about a finished build."""
     return index.meta.select(F.format_string("indexed %d features", "n_features").alias("message"))
+
+
+def stored_bytes(spark: SparkSession, path: str) -> DataFrame:
+    """(name, bytes) of each stored table, and of all as ``total``: what their files take."""
+    hadoop = spark.sparkContext
+    made = hadoop._jvm.org.apache.hadoop.fs.Path
+    store = made(path).getFileSystem(hadoop._jsc.hadoopConfiguration())
+    sizes = [(name, int(store.getContentSummary(made(f"{path}/{name}")).getLength())) for name in TABLES]
+    return spark.createDataFrame([*sizes, ("total", sum(n for _, n in sizes))], "name string, bytes long")

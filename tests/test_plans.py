@@ -32,6 +32,8 @@ def test_index_round_trip_and_append(spark, features, tmp_path):
     impacts = lambda i: {(r["term"], r["id"]): r["impact"] for r in i.postings.collect()}
     assert impacts(opened) == pytest.approx(impacts(whole))
     assert {r["id"]: r["num_words"] for r in opened.doc_length.collect()} == {1: 3, 2: 2, 4: 2}
+    sizes = {r["name"]: r["bytes"] for r in index.stored_bytes(spark, path).collect()}
+    assert sizes.pop("total") == sum(sizes.values()) and all(sizes.values())
 
 
 def test_hot_terms(spark):
