@@ -26,7 +26,8 @@ what is formed and verified are links and close misses.
 
 Defined cases: null, empty and blank texts have the empty set and are linked with nothing. A text of fewer
 than ``n`` words is one shingle. A null ``doc_id`` is returned with a null component and kept. Rows with
-one doc_id are one document for linking. An empty table gives an empty result. Other columns are ignored
+one doc_id are one document, whose candidates are found by one of its texts. An empty table gives an empty
+result. Other columns are ignored
 by :func:`near_duplicates` and carried through by :func:`kept_rows`.
 """
 
