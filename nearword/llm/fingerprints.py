@@ -29,7 +29,7 @@ PERMUTATIONS = 128
 #: Similar documents meet in 32 bands of 4 values: at a similarity of 0.8 one pair in 2 * 10**7 doesn't.
 RULE = near_dup.Rule(n=SHINGLE, bands=32, rows=4, paired=False)
 
-COMPARED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+COMPARED = "doc_id long, n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
 
 
 def fingerprints(texts: pa.Array, n: int = SHINGLE, permutations: int = PERMUTATIONS) -> np.ndarray:
@@ -81,9 +81,9 @@ def _compare(names: list, texts: list[str], following: list[str], prints: np.nda
     return [
         pa.array(names, pa.int64()),
         pa.array([len(t) for t in texts], pa.int64()),
-        pa.array([hashlib.sha256(c.encode()).hexdigest() for c in changed], pa.string()),
-        pa.array([r.tobytes().hex() for r in prints], pa.string()),
-        pa.array([r.tobytes().hex() for r in other], pa.string()),
+        pa.array([hashlib.sha256(c.encode()).digest() for c in changed], pa.binary()),
+        pa.array([r.tobytes() for r in prints], pa.binary()),
+        pa.array([r.tobytes() for r in other], pa.binary()),
         pa.array(likeness(prints, other)),
         pa.array(likeness(prints, next_prints)),
     ]
@@ -96,7 +96,7 @@ def compared(docs: DataFrame) -> DataFrame:
     task. The first and the last document of each range, two rows a task, are matched in a second step.
     """
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.float64(), pa.float64()]
     schema = pa.schema([*zip(names, kinds, strict=True), ("edge", pa.int32()), ("part", pa.int64()), ("text", pa.large_string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,9 +133,10 @@ def compared(docs: DataFrame) -> DataFrame:
     ranged = docs.select("doc_id", "text").repartitionByRange(order[0]).sortWithinPartitions(*order)
     out = Scratch(docs.sparkSession, "fingerprints").cut(ranged.mapInArrow(run, f"{COMPARED}, edge int, part long, text string"), "compared")
     parts = sorted(r[0] for r in out.where("edge = 1").select("part").collect())  # as many as there are tasks
+    shown = [F.lower(F.hex(n)).alias(n) if k == pa.binary() else F.col(n) for n, k in zip(names, kinds, strict=True)]
     if not parts:
-        return out.select(*names)
+        return out.select(*shown)
     pairs = docs.sparkSession.createDataFrame(list(zip(parts, parts[1:] + parts[:1], strict=True)), "part long, other long")
     heads = out.where("edge = 1").select(F.col("part").alias("other"), F.col("text").alias("following"))
     ends = out.where("edge = 2").select("doc_id", "part", "text").join(pairs, "part").join(heads, "other").select("doc_id", "text", "following")
-    return out.where("edge = 0").select(*names).union(ends.mapInArrow(last, COMPARED))
+    return out.where("edge = 0").select(*names).union(ends.mapInArrow(last, COMPARED)).select(*shown)
