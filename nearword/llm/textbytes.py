@@ -6,6 +6,7 @@ inside a longer character, so this equals the same rule on code points. Null tex
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -39,8 +40,8 @@ def fold_case() -> np.ndarray:
 
 _BASE = np.uint64(0xD6E8FEB86659FD93)
 _BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_BYTE_VALUE = mix64((np.arange(256, dtype=np.uint64) + np.uint64(1)) * _ODD)
-_FOLDED_VALUE = _BYTE_VALUE[fold_case()]
+BYTE_VALUE = mix64((np.arange(256, dtype=np.uint64) + np.uint64(1)) * _ODD)
+_FOLDED_VALUE = BYTE_VALUE[fold_case()]
 
 
 @lru_cache(maxsize=2)
@@ -75,14 +76,27 @@ def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+@lru_cache(maxsize=1)
+def _trim():
+    """The C library's function that gives free memory back, if it has one."""
+    return getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)
+
+
+def release() -> None:
+    """Give memory that is free back to the system: workers stay when their task is over, and others need it."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
 def slices(batch: pa.RecordBatch, text: str, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batch in runs of rows of about ``size`` bytes of text."""
+    """The batch in runs of rows of about ``size`` bytes of text; then free memory is released."""
     _, offsets = string_buffers(batch.column(text))
     at, n = 0, batch.num_rows
     while at < n:
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + size, side="right")) - 1)
         yield batch.slice(at, to - at)
         at = to
+    release()
 
 
 def word_bounds(data: np.ndarray, offsets: np.ndarray, word_byte: np.ndarray = WORD_BYTE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -108,7 +122,7 @@ def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, folded:
     up, down = powers(len(data) + 1)
     total = np.empty(len(data) + 1, np.uint64)
     total[0] = 0
-    np.cumsum((_FOLDED_VALUE if folded else _BYTE_VALUE)[data] * up[: len(data)], out=total[1:])
+    np.cumsum((_FOLDED_VALUE if folded else BYTE_VALUE)[data] * up[: len(data)], out=total[1:])
     return mix64((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 

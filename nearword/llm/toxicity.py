@@ -68,7 +68,7 @@ def word_grams(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, settings:
     up, down = textbytes.powers(len(data) + 1)
     total = np.empty(len(data) + 1, np.uint64)
     total[0] = 0
-    np.cumsum(textbytes._BYTE_VALUE[data] * up[: len(data)], out=total[1:])
+    np.cumsum(textbytes.BYTE_VALUE[data] * up[: len(data)], out=total[1:])
     mask = np.uint64(settings.buckets - 1)
     for n in settings.grams:
         if len(data) < n:
