@@ -29,7 +29,7 @@ _shipped: set[str] = set()
 
 
 #: Bytes of rows that Python workers get at once.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def ship(spark: SparkSession) -> None:

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that a kernel works on at once; a longer text is a slice of its own.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 SPACES = np.array([0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D], dtype=np.uint8)
 WORD_BYTE = np.ones(256, dtype=bool)
@@ -57,7 +57,7 @@ def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the hash base and of its inverse modulo 2**64, at least ``n`` of each."""
-    return _powers(max(21, (max(n, 1) - 1).bit_length()))
+    return _powers(max(20, (max(n, 1) - 1).bit_length()))
 
 
 def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -17,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are encoded at once: the more, the fewer pieces are met again.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 #: Pieces that are remembered, pieces in one string, and pieces in one call of the library.
 REMEMBERED, _JOINED, _CALL = 400_000, 512, 1 << 15
 _WHITE = np.zeros(256, bool)
@@ -27,7 +27,11 @@ _WHITE[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
 def _ranges(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The numbers begins[0] to begins[0] + sizes[0], then those of the next range, and so on."""
     reach = np.cumsum(sizes)
-    return np.repeat(begins - reach + sizes, sizes) + np.arange(reach[-1] if len(reach) else 0)
+    n = int(reach[-1]) if len(reach) else 0
+    kind = np.int32 if n < 1 << 30 and (not n or int(begins.max()) < 1 << 30) else np.int64
+    out = np.repeat((begins - reach + sizes).astype(kind), sizes)
+    out += np.arange(n, dtype=kind)
+    return out
 
 
 def _loose(pieces: pa.Array) -> np.ndarray:
