@@ -20,6 +20,7 @@ table gives an empty result. Other columns are carried through by :func:`selecte
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,13 +29,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nearword.llm import textbytes
+from nearword.llm import labelled, textbytes
 from nearword.llm.storage import Scratch
 
+log = logging.getLogger(__name__)
+
 BUCKETS = 1 << 13
 UNIT = 1 << 20
-#: Labelled texts of each kind that the target model and the cut are fitted on, and their bytes in all.
-SAMPLE, SAMPLE_BYTES = 3000, 16 << 20
+#: Labelled texts of each kind that the target model and the cut are fitted on, whatever their length: executors count them.
+SAMPLE = 3000
 #: Pseudo-counts that the target model takes from the raw one, for each of its own.
 PRIOR = 0.3
 #: What losing a good text weighs against keeping a bad one, for the cut.
@@ -96,14 +99,6 @@ def weights(texts: pa.Array, ratio: np.ndarray) -> np.ndarray:
     return reach[first[1:]] - reach[first[:-1]]
 
 
-def counts_of(texts: pa.Array) -> np.ndarray:
-    """How often each bucket occurs in the texts."""
-    out = np.zeros(BUCKETS, np.int64)
-    for part in textbytes.slices(pa.record_batch({"text": texts}), "text"):
-        out += np.bincount(grams(part.column("text"))[0], minlength=BUCKETS)
-    return out
-
-
 def noise(ids: np.ndarray, seed: int = SEED) -> np.ndarray:
     """Gumbel noise of each id."""
     u = (textbytes.mix64(ids.astype(np.int64).view(np.uint64) + np.uint64(seed * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) >> np.uint64(12)).astype(np.float64)
@@ -116,7 +111,7 @@ def keys(weight: np.ndarray, ids: np.ndarray, seed: int = SEED) -> np.ndarray:
 
 
 def raw_counts(docs: DataFrame) -> np.ndarray:
-    """How often each bucket occurs in all documents."""
+    """How often each bucket occurs in all of ``docs``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(BUCKETS, np.int64)
@@ -132,16 +127,21 @@ def raw_counts(docs: DataFrame) -> np.ndarray:
     return out
 
 
-def sample(docs: DataFrame, labels: DataFrame, seed: int = SEED) -> pa.Table:
-    """text and quality of the labelled rows with the smallest hashes of their id, SAMPLE of each kind at most."""
-    known = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").select("doc_id", "quality").distinct()
-    order = F.xxhash64("doc_id", F.lit(seed))
-    chosen = known.where("quality = 1").orderBy(order, "doc_id").limit(SAMPLE).union(known.where("quality = 0").orderBy(order, "doc_id").limit(SAMPLE))
-    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where("text IS NOT NULL")
-    sizes = found.select("doc_id", F.octet_length("text").alias("n"), order.alias("h")).toPandas().sort_values(["h", "doc_id", "n"])
-    within = sizes[sizes["n"].cumsum() <= SAMPLE_BYTES]["doc_id"].tolist()
-    rows = found.where(F.col("doc_id").isin(within)) if len(within) < len(sizes) else found
-    return rows.orderBy("doc_id", "quality", "text").select("text", "quality").toArrow()
+def sample(docs: DataFrame, labels: DataFrame, seed: int = SEED) -> DataFrame | None:
+    """(doc_id, quality, learnt, judged, text) of labelled texts, SAMPLE of each kind at most, by hash of id; None without both kinds.
+
+    The target model learns from some good texts, the cut is fitted on those that it hasn't seen.
+    """
+    known = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").select("doc_id", F.col("quality").cast("int").alias("quality")).distinct()
+    rows = labelled.chosen(docs, known, "quality", SAMPLE, seed)
+    good = sorted((r["doc_id"], r["h"]) for r in rows if r["quality"] == 1)
+    bad = sorted((r["doc_id"], r["h"]) for r in rows if r["quality"] == 0)
+    if not good or not bad:
+        log.warning("labelled texts: %d good, %d bad; without both kinds all documents are taken", len(good), len(bad))
+        return None
+    few = len(good) <= 2
+    parts = [(*x, 1, few or i % 3 > 0, few or i % 3 == 0) for i, x in enumerate(good)] + [(*x, 0, False, True) for x in bad]
+    return labelled.texts_of(docs, docs.sparkSession.createDataFrame(parts, "doc_id long, h long, quality int, learnt boolean, judged boolean"))
 
 
 def cut_between(good: np.ndarray, bad: np.ndarray) -> int | None:
@@ -158,19 +158,23 @@ def cut_between(good: np.ndarray, bad: np.ndarray) -> int | None:
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     rows = sample(docs, labels)
-    texts, quality = rows.column("text").combine_chunks(), rows.column("quality").to_numpy()
-    if not (quality == 1).any() or not (quality == 0).any():
+    if rows is None:
         return Model(np.zeros(BUCKETS, np.int64), None)
-    raw = raw_counts(docs)
-    good = np.flatnonzero(quality == 1)
-    unseen = good[::3] if len(good) > 2 else good  # the cut is fitted on texts that the model hasn't seen
-    target = counts_of(texts.take(pa.array(np.setdiff1d(good, unseen) if len(good) > 2 else good)))
+    rows = Scratch(docs.sparkSession, "quality-sample").cut(rows, "sample")
+    raw, target = raw_counts(docs), raw_counts(rows.where("learnt"))
     share, prior = raw / max(raw.sum(), 1), PRIOR * max(target.sum(), 1)
     with np.errstate(divide="ignore", invalid="ignore"):
         ratio = np.log((target + prior * share) / (target.sum() + prior)) - np.log(share)
     units = np.where(raw > 0, np.rint(np.nan_to_num(ratio, nan=0.0, posinf=0.0, neginf=0.0) * UNIT), 0).astype(np.int64)
-    found = np.concatenate([weights(part.column("text"), units) for part in textbytes.slices(pa.record_batch({"text": texts}), "text")])
-    return Model(units, cut_between(found[unseen], found[quality == 0]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in textbytes.slices(batch, "text"):
+                yield pa.RecordBatch.from_arrays([part.column("quality"), pa.array(weights(part.column("text"), units))], ["quality", "weight"])
+
+    found = rows.where("judged").select("quality", "text").mapInArrow(run, "quality int, weight long").toArrow()
+    quality, weight = found.column("quality").to_numpy(), found.column("weight").to_numpy()
+    return Model(units, cut_between(weight[quality == 1], weight[quality == 0]))
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:

@@ -9,7 +9,8 @@ n-grams, and so vectors, with words that some have.
 
 Scoring folds the softmax into the matrix, which leaves one number per n-gram: a pass over a text's bytes
 adds these numbers up. The model is fitted on the driver from at most ``Settings.sample`` labelled rows of
-each class, those with the smallest hashes of their id, and at most ``Settings.sample_bytes`` of text.
+each class, those with the smallest hashes of their id, and at most ``Settings.sample_bytes`` of text; where
+they don't fit, long texts go first.
 
 Defined cases: null, empty and blank texts have the score of a document without evidence. Labels other than
 0 and 1, and null ids, are not learnt from. Without labels of both classes every score is the share of
@@ -18,6 +19,7 @@ label 1. Repeated rows are scored alike. An empty table gives an empty result. O
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,7 +28,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearword.llm import textbytes
+from nearword.llm import labelled, textbytes
+
+log = logging.getLogger(__name__)
 
 #: A-Z, a-z, 0-9 and all bytes of longer characters make words.
 _LETTERS = np.zeros(256, bool)
@@ -237,17 +241,36 @@ def held_out():
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
 
 
+def fitting(sizes: np.ndarray, labels: np.ndarray, places: np.ndarray, most: int) -> np.ndarray:
+    """Which texts are within ``most`` bytes, as indices: all if they fit together.
+
+    The shortest of each class comes first, then texts of at most a 64th of the bytes, the classes in turn by
+    place, then longer ones by length; what doesn't fit is passed over, and what comes after it is still tried.
+    """
+    long = sizes > most // 64
+    order = np.lexsort([labels, places, np.where(long, sizes, 0), long])
+    first = [int(of[np.argmin(sizes[of])]) for of in (np.flatnonzero(labels == x) for x in (0, 1)) if len(of)]
+    left, out = most, []
+    for i in dict.fromkeys([*first, *order.tolist()]):
+        if sizes[i] <= left:
+            left -= int(sizes[i])
+            out.append(i)
+    missing = {int(x) for x in np.unique(labels)} - {int(labels[i]) for i in out}
+    if missing:
+        raise ValueError(f"no labelled text with toxic = {missing} fits in {most} bytes beside the shortest of the other class")
+    return np.array(sorted(out), np.int64)
+
+
 def sample(docs: DataFrame, labels: DataFrame, settings: Settings) -> tuple[pa.Table, float]:
     """The labelled rows that a model is fitted on, text and toxic, and the share of label 1 among all that may be learnt from."""
-    known = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").where(~held_out()).select("doc_id", "toxic").distinct()
+    known = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").where(~held_out()).select("doc_id", F.col("toxic").cast("int").alias("toxic")).distinct()
     share = known.agg(F.avg("toxic")).first()[0] or 0.0
-    order = F.xxhash64("doc_id", F.lit(settings.seed))
-    chosen = known.where("toxic = 1").orderBy(order, "doc_id").limit(settings.sample).union(known.where("toxic = 0").orderBy(order, "doc_id").limit(settings.sample))
-    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where("text IS NOT NULL")
-    narrow = found.select("doc_id", "toxic", F.octet_length("text").alias("n")).orderBy(order, "doc_id", "n").toPandas()
-    within = narrow[narrow["n"].cumsum() <= settings.sample_bytes]["doc_id"].tolist()
-    rows = found.where(F.col("doc_id").isin(within)) if len(within) < len(narrow) else found
-    return rows.orderBy("doc_id", "toxic", "text").select("text", "toxic").toArrow(), float(share)
+    rows = labelled.chosen(docs, known, "toxic", settings.sample, settings.seed)
+    if len({r["toxic"] for r in rows}) < 2:
+        log.warning("labelled texts are not of both classes: every document gets the share of label 1, %s", share)
+    within = fitting(*(np.array([r[c] for r in rows], np.int64) for c in ("n", "toxic", "place")), settings.sample_bytes)
+    few = docs.sparkSession.createDataFrame([(rows[i]["doc_id"], rows[i]["h"], rows[i]["toxic"]) for i in within], "doc_id long, h long, toxic int")
+    return labelled.texts_of(docs, few).orderBy("doc_id", "toxic", "text").select("text", "toxic").toArrow(), float(share)
 
 
 def scored(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), threshold: float = 0.3) -> DataFrame:

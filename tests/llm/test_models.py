@@ -102,3 +102,31 @@ def test_misspellings_and_long_texts():
     assert (toxicity.scores(pa.array([*clean[:50], " ".join(rng.choice(words, 6000)), "", None]), model) < 0.5).all()
     flat = toxicity.fit(pa.array(clean), np.zeros(200))
     assert np.unique(toxicity.scores(pa.array(["a b", "", None]), flat)).size == 1
+
+
+def test_one_long_labelled_text_leaves_the_sample(spark):
+    """Labelled texts over the byte bounds, whatever their hash, neither empty the samples nor leave all documents in; labels without a text take no place."""
+    r = np.random.default_rng(1)
+    words = np.array(["".join(r.choice(list("aeimnorst"), 6)) for _ in range(300)])
+    rows = [(i, ("Then " + " ".join(r.choice(words, 60)) + ". ") if i % 2 else " ".join(r.choice(list("#$%&7Q"), 3)[0] * 3 for _ in range(60))) for i in range(120)]
+    rows += [(1000 + i, "%% 77 $$ " * (2 << 20)) for i in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    known = [(i, i % 2, 1 - i % 2) for i in range(120)] + [(1000, 0, 1), (1001, 0, 1)] + [(5000 + i, i % 2, i % 2) for i in range(4 * quality.SAMPLE)]
+    labels = spark.createDataFrame(known, "doc_id long, quality int, toxic int")
+    model = quality.fit(docs, labels)
+    assert model.cut is not None
+    taken = {x["doc_id"] for x in quality.sampled(docs, labels).collect()}
+    assert taken and taken <= set(range(1, 120, 2))
+    table, _ = toxicity.sample(docs, labels, toxicity.Settings())
+    assert Counter(table.column("toxic").to_pylist()) == Counter(t for i, _, t in known[:120] if zlib.crc32(str(i).encode()) % 4 != 2)
+    assert quality.sample(docs, labels.where("quality = 1")) is None
+
+
+def test_fitting_texts():
+    both = np.array([0, 1, 0, 1, 0, 1])
+    place = np.array([1, 1, 2, 2, 3, 3])
+    assert toxicity.fitting(np.array([1, 900, 1, 1, 1, 1]), both, place, 1000).tolist() == [0, 1, 2, 3, 4, 5]
+    assert toxicity.fitting(np.array([1, 2000, 1, 1, 1, 998]), both, place, 1000).tolist() == [0, 2, 3, 4]
+    assert toxicity.fitting(np.array([9, 995, 9, 995, 1, 995]), both, place, 1000).tolist() == [1, 4]
+    with pytest.raises(ValueError, match="fits"):
+        toxicity.fitting(np.array([9, 2000]), both[:2], place[:2], 1000)
