@@ -25,10 +25,9 @@ Before texts are fetched, pairs whose set sizes exclude the threshold are left o
 what is formed and verified are links and close misses.
 
 Defined cases: null, empty and blank texts have the empty set and are linked with nothing. A text of fewer
-than ``n`` words is one shingle. A null ``doc_id`` is returned with a null component and kept. Rows with
-one doc_id are one document, whose candidates are found by one of its texts. An empty table gives an empty
-result. Other columns are ignored
-by :func:`near_duplicates` and carried through by :func:`kept_rows`.
+than ``n`` words is one shingle. A null ``doc_id`` is returned with a null component and kept. An id
+that represents several classes joins them: links are found and confirmed by each of its texts.
+An empty table gives an empty result. Other columns are ignored by :func:`near_duplicates` and carried through by :func:`kept_rows`.
 """
 
 from __future__ import annotations
@@ -165,19 +164,21 @@ def possible(rule: Rule, values: int, bits: int) -> Column:
 
 
 def detailed(texts: DataFrame, rule: Rule) -> DataFrame:
-    """(rep, m, t.., v..) of each text: its set's size, FINE sketch, and halves of its band keys, two in a long."""
+    """(rep, m, t.., v..) of each text but those with the empty set: its set's size, FINE sketch, and halves of its band keys, two in a long."""
     longs, halves = longs_of(FINE, 1), -(-rule.bands // 2)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in textbytes.slices(batch, "text"):
                 hashes, first = textbytes.distinct_shingles(part.column("text"), rule.n)
+                full = np.diff(first) > 0  # an id with a full text may have an empty one too
+                first = np.append(first[:-1][full], first[-1])
                 fine = sketches(signatures(hashes, first, FINE // 2, True), 1)
                 keys = band_keys(signatures(hashes, first, rule.permutations, rule.paired), rule.bands, rule.rows).view(np.uint64) >> np.uint64(32)
                 padded = np.zeros((len(keys), 2 * halves), np.uint64)
                 padded[:, : rule.bands] = keys
                 packed = (padded[:, ::2] << np.uint64(32) | padded[:, 1::2]).view(np.int64)
-                columns = [part.column("doc_id").cast(pa.int64()), pa.array(np.diff(first)), *(pa.array(c) for c in fine.T), *(pa.array(c) for c in packed.T)]
+                columns = [part.column("doc_id").cast(pa.int64()).filter(pa.array(full)), pa.array(np.diff(first)), *(pa.array(c) for c in fine.T), *(pa.array(c) for c in packed.T)]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     names = ["rep", "m", *(f"t{i}" for i in range(longs)), *(f"v{i}" for i in range(halves))]
@@ -205,8 +206,9 @@ def confirmed(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
                 left, right = np.asarray(part.column("a")), np.asarray(part.column("b"))
                 rows = []
                 for k in range(part.num_rows):
-                    if held != left[k]:
-                        held, mine = left[k], textbytes.distinct_shingles(part.column("text_a").slice(k, 1), rule.n)[0]
+                    own = part.column("text_a")[k].as_py()
+                    if held != (left[k], own):  # an id may have several texts
+                        held, mine = (left[k], own), textbytes.distinct_shingles(part.column("text_a").slice(k, 1), rule.n)[0]
                     other = theirs[first[k] : first[k + 1]]
                     small, large = (mine, other) if len(mine) <= len(other) else (other, mine)
                     at = np.searchsorted(large, small)
@@ -232,7 +234,7 @@ def unsettled_members(members: DataFrame, labels: DataFrame, scratch: Scratch) -
 
 
 def links(reps: DataFrame, docs: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame:
-    """All links (a, b) that join components, between representatives (rep, n, bands, sketch); not all links inside one."""
+    """All links (a, b) that join components, between representatives (rep, n, bands, sketch), a row per set; not all links inside one."""
     values = rule.bands * rule.rows
     longs = range(longs_of(values, 2))
     nodes = scratch.cut(reps.select("rep", "n", *[F.col("sketch")[i].alias(f"s{i}") for i in longs]), "nodes")
@@ -255,15 +257,15 @@ def links(reps: DataFrame, docs: DataFrame, rule: Rule, scratch: Scratch) -> Dat
         asked.append(scratch.cut(pairs, "asked"))
         return scratch.cut(confirmed(asked[-1], texts, rule), "links").select("a", "b")
 
-    pivots = nodes.select(F.col("rep").alias("a"), F.xxhash64("rep").alias("pivot"))
+    pivots = nodes.select(F.col("rep").alias("a"), F.xxhash64("rep").alias("pivot")).distinct()
     star = ordered(members.select(F.col("rep").alias("b"), "pivot").distinct().join(pivots, "pivot").select("a", "b"))
-    found = tried(star.join(left, "a").join(right, "b").where(possible(rule, values, 2)).select("a", "b"))
+    found = tried(star.join(left, "a").join(right, "b").where(possible(rule, values, 2)).select("a", "b").distinct())
     unsettled = unsettled_members(members, components(found, scratch), scratch)
     partner = unsettled.where("label = main AND k > 1").groupBy("bucket").agg(F.min_by("rep", F.xxhash64("rep", "bucket")).alias("b"))
     strays = unsettled.where("label != main AND k > 1").select("bucket", F.col("rep").alias("a")).join(partner, "bucket")
     turn = F.row_number().over(Window.partitionBy("a").orderBy(F.xxhash64("bucket")))
     some = ordered(strays.withColumn("turn", turn).where(F.col("turn") <= TRIES).select("a", "b"))
-    more = tried(some.join(left, "a").join(right, "b").where(possible(rule, values, 2)).select("a", "b"))
+    more = tried(some.join(left, "a").join(right, "b").where(possible(rule, values, 2)).select("a", "b").distinct())
     if not more.isEmpty():
         found = found.union(more)
         unsettled = unsettled_members(members, components(found, scratch), scratch)
@@ -283,7 +285,7 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     signs = scratch.cut(signed(docs, rule), "signed")
     full = signs.where("set_key IS NOT NULL AND doc_id IS NOT NULL")
     classes = scratch.cut(full.groupBy("set_key").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = full.join(classes, ["set_key"]).where("doc_id = rep").select("rep", F.col("n_shingles").alias("n"), "bands", "sketch").dropDuplicates(["rep"])
+    reps = full.join(classes, ["set_key"]).where("doc_id = rep").select("set_key", "rep", F.col("n_shingles").alias("n"), "bands", "sketch").dropDuplicates(["set_key"])
     found = components(links(reps, docs, rule, scratch), scratch)
     of_class = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", "rep", F.coalesce("label", "rep").alias("label"))
     own = signs.select("doc_id", "n_shingles", "set_key").join(of_class, "set_key", "left")

@@ -146,3 +146,14 @@ def test_fingerprints(spark, edge_docs, no_docs):
     alone = fingerprints.compared(edge_docs.where("doc_id = 0")).collect()
     assert len(alone) == 1 and alone[0]["near_next"] == 1.0
     assert as_dict(fingerprints.similar(edge_docs).collect())[1]["component_id"] == 0
+
+
+def test_every_text_of_a_repeated_id_finds_its_copies(spark):
+    r = random.Random(6)
+    texts = [" ".join(r.choices([f"w{i}" for i in range(3000)], k=200)) for _ in range(5)]
+    rows = [(1, t) for t in texts] + [(1, ""), (1, None)] + [(10 + i, t + " end") for i, t in enumerate(texts)] + [(99, "apart from all others")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {x["doc_id"]: x["component_id"] for x in near_dup.near_duplicates(docs, near_dup.Rule(n=2)).where("n_shingles > 0").collect()}
+    assert found == {1: 1, **{10 + i: 1 for i in range(5)}, 99: 99}
+    detailed = near_dup.detailed(docs.where("doc_id = 1").coalesce(1), near_dup.Rule(n=2)).collect()
+    assert len(detailed) == 5 and all(x["rep"] == 1 and x["m"] > 0 for x in detailed)
