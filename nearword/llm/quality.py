@@ -1,16 +1,18 @@
 """Quality by importance resampling: hashed n-gram models of target and raw text, sampled by Gumbel top-k.
 
-Tokens are runs of letters and digits and runs of other signs. Counted are hashed unigrams of tokens and
-hashed bigrams of their shapes: a word's shape is how it uses capitals and digits, a sign is its own, and a
-token after itself makes a bigram of its own. The target model is made of texts labelled good, the raw one
-of all documents. A document's log importance weight is the sum over its n-grams of the
-log ratio of the two models. Adding to it Gumbel noise, a function of the id, and taking the k largest
-draws k documents without replacement in proportion to their weights.
-
-``k`` is how many documents have a weight above a cut, which is fitted on the labelled sample so that good
-texts lie above it and bad ones below. The k-th largest key is found exactly by counting digits of the
-keys, 65,536 counts a pass, so nothing is sorted and no task or driver holds the documents. Weights are
-integers (in units of 2**-20), so that every pass finds the same keys.
+Tokens are runs of letters and digits and runs of other signs. Counted are hashed unigrams and bigrams of
+tokens, and hashed bigrams of their shapes: a word's shape is how it uses capitals and digits, a sign is its
+own, and a token after itself makes a bigram of its own. The target model is made of texts labelled good,
+the raw one of all documents. The log ratio of the two, per token, times ``TOKENS`` is a document's log
+importance weight: that of so many tokens of its kind, so that long texts are not certain by their length
+and the noise decides between close ones. Adding Gumbel noise to it, a function of the id, and taking the k
+largest draws k documents without replacement in proportion to their weights.
+
+``k`` is a budget: as many documents as good ones are to be expected, which is all documents times the share
+of good ones among labelled documents and two of its standard errors; or a share that the caller gives. The
+k-th largest key is found exactly by counting digits of the keys, 65,536 counts a pass, so nothing is
+sorted and no task or driver holds the documents. Weights are integers (in units of 2**-20), so that every
+pass finds the same keys.
 
 Defined cases: null and empty texts have no n-grams and a weight of 0. Null ids have noise of their own,
 alike among themselves. Rows with one id and one text have one key and are taken or left together, with
@@ -21,6 +23,7 @@ table gives an empty result. Other columns are carried through by :func:`selecte
 from __future__ import annotations
 
 import logging
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,14 +37,18 @@ from nearword.llm.storage import Scratch
 
 log = logging.getLogger(__name__)
 
-BUCKETS = 1 << 13
+#: Hash buckets of each of the three kinds of n-grams.
+FAMILY = 1 << 12
+BUCKETS = 3 * FAMILY
 UNIT = 1 << 20
-#: Labelled texts of each kind that the target model and the cut are fitted on, whatever their length: executors count them.
+#: Good texts that the target model is fitted on at most, whatever their length: executors count them.
 SAMPLE = 3000
 #: Pseudo-counts that the target model takes from the raw one, for each of its own.
 PRIOR = 0.3
-#: What losing a good text weighs against keeping a bad one, for the cut.
-LOSS = 10
+#: A document's weight is that of so many tokens of its kind: the higher, the less the noise decides.
+TOKENS = 10
+#: Standard errors of the labels' share of good documents that the budget has on top of it.
+MARGIN = 2.0
 SEED = 3
 
 _KIND = np.full(256, 2, np.uint8)
@@ -54,7 +61,7 @@ _NULL_ID = np.int64(-(1 << 63))
 
 
 def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket of each token's unigram and bigram, first): two in turn for each token."""
+    """(bucket of each token's unigram, bigram and bigram of shapes, first): three in turn for each token."""
     data, offsets = textbytes.string_buffers(texts)
     n = len(data)
     if not n:
@@ -78,25 +85,27 @@ def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     before[1:], last[1:] = shape[:-1], hashes[:-1]
     heads = first[:-1][np.diff(first) > 0]
     before[heads], last[heads] = 0, 0
-    pair = np.where(hashes == last, _REPEAT, textbytes.mix64(shape * np.uint64(0x9E3779B97F4A7C15) + before))
-    mask = np.uint64(BUCKETS // 2 - 1)
-    both = np.stack([hashes & mask, (pair & mask) + np.uint64(BUCKETS // 2)], axis=1)
-    return both.reshape(-1).astype(np.int64), 2 * first
+    odd = np.uint64(0x9E3779B97F4A7C15)
+    pair = textbytes.mix64(hashes * odd + last)
+    of_shapes = np.where(hashes == last, _REPEAT, textbytes.mix64(shape * odd + before))
+    mask = np.uint64(FAMILY - 1)
+    kinds = [(values & mask) + np.uint64(i * FAMILY) for i, values in enumerate((hashes, pair, of_shapes))]
+    return np.stack(kinds, axis=1).reshape(-1).astype(np.int64), 3 * first
 
 
 @dataclass
 class Model:
-    """``ratio``: each bucket's log ratio in units; ``cut``: the weight in units above which texts are good, or None."""
+    """``ratio``: each bucket's log ratio in units; ``share``: of the documents that are drawn, None for all."""
 
     ratio: np.ndarray
-    cut: int | None
+    share: float | None
 
 
 def weights(texts: pa.Array, ratio: np.ndarray) -> np.ndarray:
-    """Each text's log importance weight, in units."""
+    """Each text's log importance weight, in units: its n-grams' log ratio per token, times TOKENS."""
     buckets, first = grams(texts)
     reach = np.concatenate([[0], np.cumsum(ratio[buckets])])
-    return reach[first[1:]] - reach[first[:-1]]
+    return np.rint((reach[first[1:]] - reach[first[:-1]]) * (3 * TOKENS) / np.maximum(np.diff(first), 1)).astype(np.int64)
 
 
 def noise(ids: np.ndarray, seed: int = SEED) -> np.ndarray:
@@ -127,54 +136,44 @@ def raw_counts(docs: DataFrame) -> np.ndarray:
     return out
 
 
-def sample(docs: DataFrame, labels: DataFrame, seed: int = SEED) -> DataFrame | None:
-    """(doc_id, quality, learnt, judged, text) of labelled texts, SAMPLE of each kind at most, by hash of id; None without both kinds.
+def known_labels(labels: DataFrame) -> DataFrame:
+    """(doc_id, quality) of the labels 0 and 1, each once."""
+    return labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).distinct()
 
-    The target model learns from some good texts, the cut is fitted on those that it hasn't seen.
-    """
-    known = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").select("doc_id", F.col("quality").cast("int").alias("quality")).distinct()
-    rows = labelled.chosen(docs, known, "quality", SAMPLE, seed)
-    good = sorted((r["doc_id"], r["h"]) for r in rows if r["quality"] == 1)
-    bad = sorted((r["doc_id"], r["h"]) for r in rows if r["quality"] == 0)
+
+def labelled_share(docs: DataFrame, labels: DataFrame, margin: float = MARGIN) -> float | None:
+    """The share of good ones among all labelled documents and ``margin`` standard errors; None without both kinds."""
+    there = docs.where("text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"))
+    n = dict(known_labels(labels).join(there, "doc_id", "left_semi").groupBy("quality").count().collect())
+    good, bad = n.get(1, 0), n.get(0, 0)
     if not good or not bad:
-        log.warning("labelled texts: %d good, %d bad; without both kinds all documents are taken", len(good), len(bad))
+        log.warning("labelled texts: %d good, %d bad; without both kinds all documents are taken", good, bad)
         return None
-    few = len(good) <= 2
-    parts = [(*x, 1, few or i % 3 > 0, few or i % 3 == 0) for i, x in enumerate(good)] + [(*x, 0, False, True) for x in bad]
-    return labelled.texts_of(docs, docs.sparkSession.createDataFrame(parts, "doc_id long, h long, quality int, learnt boolean, judged boolean"))
+    share = good / (good + bad)
+    return min(1.0, share + margin * (share * (1 - share) / (good + bad)) ** 0.5)
 
 
-def cut_between(good: np.ndarray, bad: np.ndarray) -> int | None:
-    """The value with the least cost of good below and bad not below it, in the middle of the widest gap that has it."""
-    if not len(good) or not len(bad):
-        return None
-    values = np.unique(np.concatenate([good, bad]))
-    cost = LOSS * np.searchsorted(np.sort(good), values, side="left") + len(bad) - np.searchsorted(np.sort(bad), values, side="left")
-    best = np.flatnonzero(cost == cost.min())
-    low = np.where(best > 0, values[np.maximum(best - 1, 0)], values[0] - UNIT)
-    k = int(np.argmax(values[best] - low))
-    return int((int(values[best[k]]) + int(low[k])) // 2)
-
-
-def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    rows = sample(docs, labels)
-    if rows is None:
-        return Model(np.zeros(BUCKETS, np.int64), None)
-    rows = Scratch(docs.sparkSession, "quality-sample").cut(rows, "sample")
-    raw, target = raw_counts(docs), raw_counts(rows.where("learnt"))
-    share, prior = raw / max(raw.sum(), 1), PRIOR * max(target.sum(), 1)
+def sample(docs: DataFrame, labels: DataFrame, seed: int = SEED) -> DataFrame:
+    """(doc_id, text) of good texts, SAMPLE at most, by hash of id."""
+    rows = labelled.chosen(docs, known_labels(labels).where("quality = 1"), "quality", SAMPLE, seed)
+    parts = [(r["doc_id"], r["h"]) for r in rows]
+    return labelled.texts_of(docs, docs.sparkSession.createDataFrame(parts, "doc_id long, h long"))
+
+
+def log_ratios(raw: np.ndarray, target: np.ndarray, prior: float = PRIOR) -> np.ndarray:
+    """Each bucket's log ratio of the target model to the raw one, in units; 0 for buckets that no document has."""
+    share, most = raw / max(raw.sum(), 1), prior * max(target.sum(), 1)
     with np.errstate(divide="ignore", invalid="ignore"):
-        ratio = np.log((target + prior * share) / (target.sum() + prior)) - np.log(share)
-    units = np.where(raw > 0, np.rint(np.nan_to_num(ratio, nan=0.0, posinf=0.0, neginf=0.0) * UNIT), 0).astype(np.int64)
+        ratio = np.log((target + most * share) / (target.sum() + most)) - np.log(share)
+    return np.where(raw > 0, np.rint(np.nan_to_num(ratio, nan=0.0, posinf=0.0, neginf=0.0) * UNIT), 0).astype(np.int64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in textbytes.slices(batch, "text"):
-                yield pa.RecordBatch.from_arrays([part.column("quality"), pa.array(weights(part.column("text"), units))], ["quality", "weight"])
 
-    found = rows.where("judged").select("quality", "text").mapInArrow(run, "quality int, weight long").toArrow()
-    quality, weight = found.column("quality").to_numpy(), found.column("weight").to_numpy()
-    return Model(units, cut_between(weight[quality == 1], weight[quality == 0]))
+def fit(docs: DataFrame, labels: DataFrame, share: float | None = None) -> Model:
+    """The models' ratio and the budget; ``share`` of the documents, else as labels let expect."""
+    found = labelled_share(docs, labels)
+    if found is None:
+        return Model(np.zeros(BUCKETS, np.int64), share)
+    return Model(log_ratios(raw_counts(docs), raw_counts(sample(docs, labels))), found if share is None else share)
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
@@ -215,10 +214,11 @@ class Choice:
 
 
 def choose(rows: DataFrame, model: Model) -> Choice:
-    """The Gumbel top-k of scored rows, k being how many weights reach the cut."""
-    if model.cut is None:
+    """The Gumbel top-k of scored rows, k being the budget."""
+    if model.share is None:
         return Choice(-(1 << 63))
-    k = rows.where(F.col("weight") >= model.cut).count()
+    n = rows.count()
+    k = min(n, math.ceil(n * model.share))
     if not k:
         return Choice((1 << 63) - 1, -(1 << 63))
     key, need = kth_largest(rows, "key", k)
@@ -228,18 +228,18 @@ def choose(rows: DataFrame, model: Model) -> Choice:
     return Choice(key, -kth_largest(ties, "id", need)[0])
 
 
-def sampled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def sampled(docs: DataFrame, labels: DataFrame, share: float | None = None) -> DataFrame:
     """The documents that are taken: doc_id, log_weight, key."""
-    model = fit(docs, labels)
+    model = fit(docs, labels, share)
     rows = Scratch(docs.sparkSession, "quality").cut(scored(docs, model), "scored")
     choice = choose(rows, model)
     taken = (F.col("key") > choice.key) | (F.col("key") == choice.key) & (F.lit(True) if choice.doc_id is None else F.coalesce(F.col("doc_id") <= choice.doc_id, F.lit(True)))
     return rows.where(taken).select("doc_id", (F.col("weight") / UNIT).alias("log_weight"), (F.col("key") / UNIT).alias("key"))
 
 
-def selected(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def selected(docs: DataFrame, labels: DataFrame, share: float | None = None) -> DataFrame:
     """The rows of ``docs`` that are taken, with all their columns: a filter as the table streams by, without a shuffle."""
-    model = fit(docs, labels)
+    model = fit(docs, labels, share)
     choice = choose(Scratch(docs.sparkSession, "quality").cut(scored(docs, model), "scored"), model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
