@@ -1,16 +1,18 @@
 """Toxicity by subword-bag embeddings averaged into a linear softmax, trained jointly in numpy.
 
 A word is a bag of its character n-grams, hashed to rows of an embedding matrix, and of itself; its vector
-is the average of theirs. A passage of ``window`` words averages its words' vectors, and a linear softmax
-over the two classes scores it; embeddings and softmax are trained together by gradient descent. A document
-is as toxic as its passages make it: their log-odds are pooled by a smooth maximum, so that one insult in
-20,000 words weighs as in 20, and the loss is the document's. Misspellings that no label has shown share
-n-grams, and so vectors, with words that some have.
+is the average of theirs. A passage averages the vectors of some words in a row, of as many as each of
+``windows`` says, or of the whole text if it has fewer; a linear softmax over the two classes scores it. Embeddings and softmax
+are trained together by gradient descent. A document is as toxic as its passages make it: their log-odds
+are pooled by a smooth maximum, so that one insult in 20,000 words weighs as in 20. Training and scoring
+pool alike, and the loss is the document's. Misspellings that no label has shown share n-grams, and so
+vectors, with words that some have.
 
 Scoring folds the softmax into the matrix, which leaves one number per n-gram: a pass over a text's bytes
 adds these numbers up. The model is fitted on the driver from at most ``Settings.sample`` labelled rows of
 each class, those with the smallest hashes of their id, and at most ``Settings.sample_bytes`` of text; where
-they don't fit, long texts go first.
+they don't fit, long texts go first. Log-odds become probabilities by a logistic fit on texts that the
+model which scored them was not trained on: each of ``Settings.folds`` parts by a model of the others.
 
 Defined cases: null, empty and blank texts have the score of a document without evidence. Labels other than
 0 and 1, and null ids, are not learnt from. Without labels of both classes every score is the share of
@@ -39,20 +41,25 @@ _FOLD = textbytes.fold_case()
 _FOLD[~_LETTERS] = 0x20
 
 
+#: The part of the epochs over which the maximum gets as sharp as it is in scoring; before, all passages learn.
+ANNEAL = 0.75
+
+
 @dataclass(frozen=True)
 class Settings:
-    """``grams``: lengths of n-grams in bytes, the spaces around a word included. ``sharpness``: of the smooth maximum that documents are scored by; training has 1, so that all passages learn."""
+    """``grams``: lengths of n-grams in bytes, the spaces around a word included. ``windows``: words of a passage. ``sharpness``: of the smooth maximum over passages."""
 
     sample: int = 1200
     sample_bytes: int = 10 << 20
     buckets: int = 1 << 18
     dimensions: int = 4
     grams: tuple[int, ...] = (3, 4, 5)
-    window: int = 1
+    windows: tuple[int, ...] = (1, 5)
     epochs: int = 20
-    rate: float = 0.15
+    rate: float = 0.1
     decay: float = 1e-4
-    sharpness: float = 8.0
+    sharpness: float = 4.0
+    folds: int = 2
     seed: int = 5
 
 
@@ -107,13 +114,18 @@ def word_scores(texts: pa.Array, model: Model) -> tuple[np.ndarray, np.ndarray]:
     return total / np.maximum(count, 1), first
 
 
-def passages(words: np.ndarray, first: np.ndarray, window: int) -> np.ndarray:
-    """The mean of ``window`` words from each word on, as many as its text has left."""
-    if window == 1 or not len(words):
-        return words
-    reach = np.concatenate([[0.0], np.cumsum(words)])
-    at = np.arange(len(words))
-    to = np.minimum(at + window, np.repeat(first[1:], np.diff(first)))
+def passages(first: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first word, word after the last, first): each text's runs of ``window`` words; the whole text if it has fewer."""
+    words = np.diff(first)
+    counts = np.where(words > 0, np.maximum(words - window + 1, 1), 0)
+    begins = np.concatenate([[0], np.cumsum(counts)])
+    at = np.arange(begins[-1]) + np.repeat(first[:-1] - begins[:-1], counts)
+    return at, np.minimum(at + window, np.repeat(first[1:], counts)), begins
+
+
+def means(values: np.ndarray, at: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """The mean of ``values`` from each ``at`` to before ``to``."""
+    reach = np.concatenate([[0.0], np.cumsum(values, dtype=np.float64)])
     return (reach[to] - reach[at]) / (to - at)
 
 
@@ -129,9 +141,21 @@ def pooled(values: np.ndarray, first: np.ndarray, empty: float, sharpness: float
     return out
 
 
+def joined(pools: list[np.ndarray], sharpness: float) -> np.ndarray:
+    """The smooth maximum over all passages from that over each kind's; those without any passage stay as they are."""
+    out = pools[0]
+    for pool in pools[1:]:
+        out = np.logaddexp(sharpness * out, sharpness * pool) / sharpness
+    return out
+
+
 def log_odds(texts: pa.Array, model: Model) -> np.ndarray:
     words, first = word_scores(texts, model)
-    return pooled(passages(words, first, model.settings.window) + model.bias, first, model.bias, model.settings.sharpness)
+    pools = []
+    for window in model.settings.windows:
+        at, to, begins = passages(first, window)
+        pools.append(pooled(means(words, at, to) + model.bias, begins, model.bias, model.settings.sharpness))
+    return joined(pools, model.settings.sharpness)
 
 
 def probability(x: np.ndarray) -> np.ndarray:
@@ -139,44 +163,75 @@ def probability(x: np.ndarray) -> np.ndarray:
 
 
 def fit(texts: pa.Array, labels: np.ndarray, settings: Settings = Settings(), prior: float | None = None) -> Model:
-    """Train on whole texts, each with its distinct words once. ``prior``: the share of label 1 that scores assume, else the sample's."""
+    """Train on whole texts and calibrate. ``prior``: the share of label 1 that scores assume, else the sample's."""
     labels = np.asarray(labels).astype(np.float64)
     share = float(labels.mean()) if len(labels) else 0.0
     prior = share if prior is None else prior
     if not 0 < share < 1:
         base = np.clip(prior, 1e-6, 1 - 1e-6)
         return Model(settings, np.zeros(settings.buckets, np.float32), 0.0, 0.0, float(np.log(base / (1 - base))))
+    model = trained(texts, labels, settings)
+    rank = np.empty(len(labels), np.int64)  # dealt out class by class, so that every part has both where there are enough
+    rank[np.argsort(labels, kind="stable")] = np.arange(len(labels))
+    odds, unseen = np.zeros(len(labels)), np.zeros(len(labels), bool)
+    for fold in range(settings.folds):
+        out = rank % settings.folds == fold
+        if out.any() and len(np.unique(labels[~out])) == 2:
+            other = trained(texts.filter(pa.array(~out)), labels[~out], settings)
+            odds[out], unseen[out] = _all_odds(texts.filter(pa.array(out)), other), True
+    if not unseen.all():
+        odds = _all_odds(texts, model)  # too few texts to leave some out
+    model = _calibrated(model, odds, labels)
+    model.shift += float(np.log(prior / (1 - prior)) - np.log(share / (1 - share)))
+    return model
+
+
+def _all_odds(texts: pa.Array, model: Model) -> np.ndarray:
+    return np.concatenate([log_odds(part.column("text"), model) for part in textbytes.slices(pa.record_batch({"text": texts}), "text")])
+
+
+def trained(texts: pa.Array, labels: np.ndarray, settings: Settings) -> Model:
+    """Embeddings and softmax by gradient descent with moment estimates, folded into one number per n-gram. Not yet calibrated."""
     word_of, first, grams, gram_first = _bags(texts, settings)
     rng = np.random.default_rng(settings.seed)
     used, grams = np.unique(grams, return_inverse=True)
     grams = grams.astype(np.int32)
     d = settings.dimensions
-    embedding = rng.normal(0, 0.3, (d, len(used))).astype(np.float32)
-    softmax = rng.normal(0, 0.3, d).astype(np.float32)
-    bias = np.float32(-3.0)
+    embedding = rng.normal(0, 0.1, (d, len(used))).astype(np.float32)
+    sides = rng.choice([-0.5, 0.5], d).astype(np.float32)
+    softmax = np.stack([-sides, sides])
+    bias = np.array([0.5, -0.5], np.float32) * np.float32(np.mean(np.log1p(2 * np.diff(first))))  # texts start undecided
     sizes = np.diff(gram_first)
     owner = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
     by_gram = np.argsort(grams, kind="stable").astype(np.int32)
     gram_begin = np.searchsorted(grams[by_gram], np.arange(len(used)))
     word_sorted = owner[by_gram]
     del owner, by_gram
-    in_docs = np.argsort(word_of, kind="stable")
-    word_begin = np.searchsorted(word_of[in_docs], np.arange(len(sizes)))
-    doc_sizes = np.diff(first)
-    doc_of = np.repeat(np.arange(len(doc_sizes)), doc_sizes)
+    kinds = []  # of passages: first word, word after the last, length, text, first passage of each text
+    for window in settings.windows:
+        at, to, begins = passages(first, window)
+        doc_of = np.repeat(np.arange(len(labels), dtype=np.int32), np.diff(begins))
+        kinds.append((at.astype(np.int32), to.astype(np.int32), (to - at).astype(np.float32), doc_of, begins))
+    share = labels.mean()
     balance = np.where(labels > 0, 0.5 / share, 0.5 / (1 - share)) / len(labels)
-    state = [[np.zeros_like(x), np.zeros_like(x)] for x in (embedding, softmax)] + [[np.float32(0), np.float32(0)]]
+    state = [[np.zeros_like(x), np.zeros_like(x)] for x in (embedding, softmax, bias)]
     for epoch in range(settings.epochs):
+        sharp = 1 + (settings.sharpness - 1) * min(1.0, epoch / (ANNEAL * settings.epochs))
         vectors = np.stack([np.add.reduceat(row[grams], gram_first[:-1]) for row in embedding]) / sizes.astype(np.float32)
-        words = softmax @ vectors + bias
-        values = words[word_of]
-        pool = pooled(values.astype(np.float64), first, float(bias), 1.0)
+        between, base = softmax[1] - softmax[0], bias[1] - bias[0]  # of two classes, the difference says all
+        in_place = (between @ vectors)[word_of]
+        values = [means(in_place, at, to) + base for at, to, *_ in kinds]
+        pool = joined([pooled(v, kind[4], float(base), sharp) for v, kind in zip(values, kinds, strict=True)], sharp)
         error = (probability(pool) - labels) * balance
-        weight = np.exp(values - pool[doc_of]) * error[doc_of]
-        slope = np.add.reduceat(weight[in_docs], word_begin).astype(np.float32)
+        change = np.zeros(len(word_of) + 1)
+        for v, (at, to, length, doc_of, _) in zip(values, kinds, strict=True):
+            weight = np.exp(sharp * (v - pool[doc_of])) * error[doc_of] / length
+            change += np.bincount(at, weight, len(change)) - np.bincount(to, weight, len(change))
+        slope = np.bincount(word_of, np.cumsum(change)[:-1], len(sizes)).astype(np.float32)
         spread = slope / sizes.astype(np.float32)
-        to_embedding = softmax[:, None] * np.add.reduceat(spread[word_sorted], gram_begin)[None, :] + np.float32(settings.decay / len(used)) * embedding
-        gradients = (to_embedding, vectors @ slope, np.float32(slope.sum()))
+        to_embedding = between[:, None] * np.add.reduceat(spread[word_sorted], gram_begin)[None, :] + np.float32(settings.decay / len(used)) * embedding
+        to_between, to_base = vectors @ slope, np.float32(error.sum())
+        gradients = (to_embedding, np.stack([-to_between, to_between]), np.array([-to_base, to_base], np.float32))
         step = settings.rate * (1 - epoch / settings.epochs)
         moved = []
         for value, g, s in zip((embedding, softmax, bias), gradients, state, strict=True):
@@ -185,17 +240,13 @@ def fit(texts: pa.Array, labels: np.ndarray, settings: Settings = Settings(), pr
             moved.append(value - step * (s[0] / (1 - 0.9 ** (epoch + 1))) / (np.sqrt(s[1] / (1 - 0.99 ** (epoch + 1))) + 1e-8))
         embedding, softmax, bias = moved
     weight = np.zeros(settings.buckets, np.float32)
-    weight[used] = softmax @ embedding
-    model = Model(settings, weight, float(bias), 1.0, 0.0)
-    odds = np.concatenate([log_odds(part.column("text"), model) for part in textbytes.slices(pa.record_batch({"text": texts}), "text")])
-    model = _calibrated(model, odds, labels)
-    model.shift += float(np.log(prior / (1 - prior)) - np.log(share / (1 - share)))
-    return model
+    weight[used] = (softmax[1] - softmax[0]) @ embedding
+    return Model(settings, weight, float(bias[1] - bias[0]), 1.0, 0.0)
 
 
 def _bags(texts: pa.Array, settings: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(word of each place, first, n-grams, first): texts as lists of distinct words, words as lists of buckets."""
-    words, keys, counts, docs = [np.zeros(0, np.uint64)], [], [], []
+    """(word of each place, first, n-grams, first): texts as lists of distinct words' numbers, words as lists of buckets."""
+    words, keys, counts, places, docs = [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)]
     for part in textbytes.slices(pa.record_batch({"text": texts}), "text"):
         data, starts, ends, first = _prepared(part.column("text"))
         hashes = textbytes.range_hashes(data, starts + 1, ends + 1, folded=False)
@@ -212,23 +263,38 @@ def _bags(texts: pa.Array, settings: Settings) -> tuple[np.ndarray, np.ndarray,
         owner = np.concatenate(owners)
         keys.append(np.concatenate(buckets)[np.argsort(owner, kind="stable")])
         counts.append(np.bincount(owner, minlength=len(at)))
-        docs += [np.unique(hashes[x:y]) for x, y in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+        places.append(hashes)
+        docs.append(np.diff(first))
     words = np.concatenate(words)
     order = np.argsort(words)
-    word_of = order[np.searchsorted(words[order], np.concatenate(docs))].astype(np.int32)
-    first = np.concatenate([[0], np.cumsum([len(x) for x in docs])]).astype(np.int64)
-    return word_of, first, np.concatenate(keys), np.concatenate([[0], np.cumsum(np.concatenate(counts))]).astype(np.int64)
+    word_of = order[np.searchsorted(words[order], np.concatenate(places))].astype(np.int32)
+    return word_of, np.cumsum(np.concatenate(docs)), np.concatenate(keys), np.concatenate([[0], np.cumsum(np.concatenate(counts))]).astype(np.int64)
 
 
 def _calibrated(model: Model, odds: np.ndarray, labels: np.ndarray) -> Model:
-    """Scale and shift so that log-odds give probabilities: a logistic fit of two numbers by Newton steps."""
-    x = np.stack([odds, np.ones_like(odds)], axis=1)
-    theta = np.array([1.0, 0.0])
-    for _ in range(30):
+    """Scale and shift so that log-odds give probabilities: a logistic fit of two numbers, by Newton steps that are halved until the loss falls."""
+    middle, spread = float(odds.mean()), float(odds.std()) or 1.0
+    x = np.stack([(odds - middle) / spread, np.ones_like(odds)], axis=1)
+    hold = 1e-3 * np.array([1.0, 0.0])
+
+    def loss(theta: np.ndarray) -> float:
+        z = x @ theta
+        return float(np.sum(np.logaddexp(0, z) - labels * z) + 0.5 * np.sum(hold * theta**2))
+
+    share = labels.mean()
+    theta = np.array([0.0, np.log(share / (1 - share))])
+    for _ in range(50):
         p = probability(x @ theta)
-        w = np.maximum(p * (1 - p), 1e-9)
-        theta = theta - np.linalg.solve((x * w[:, None]).T @ x + 1e-3 * np.eye(2), x.T @ (p - labels) + 1e-3 * (theta - [1, 0]))
-    model.scale, model.shift = float(max(theta[0], 1e-3)), float(theta[1])
+        slope = x.T @ (p - labels) + hold * theta
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(hold) + 1e-9 * np.eye(2), slope)
+        size = 1.0
+        while size > 1e-6 and not loss(theta - size * step) < loss(theta):
+            size /= 2
+        if size <= 1e-6:
+            break
+        theta = theta - size * step
+    model.scale = float(max(theta[0] / spread, 1e-3))
+    model.shift = float(theta[1] - model.scale * middle)
     return model
 
 
