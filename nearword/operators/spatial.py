@@ -2,8 +2,10 @@
 
 :func:`distance_join` gives pairs. :func:`best_neighbour` gives each object the best score in its
 neighbourhood without forming all pairs: features are summed up in a quadtree of cells (bounding box,
-largest score), and objects descend it a few cells at a time, dropping cells that cannot hold their answer.
-Its rows stay in proportion to the objects, however dense or skewed the features are.
+largest score), and objects descend it a few cells at a time, dropping cells that cannot hold their answer,
+also those that could only equal what another is sure to hold. The tree is as deep as its fullest cell needs.
+So rows stay in proportion to the objects, however dense or skewed the features are, and however many of
+them have the same score.
 
 Objects are rows (id, lat, lon), features rows (id, lat, lon, theta). Rows with a null place are in no
 neighbourhood. Repeated features weigh once, repeated objects are answered row by row as one id.
@@ -19,10 +21,12 @@ from nearword.functions import formulas
 from nearword.functions.formulas import INFLUENCE, NEAREST, RANGE
 from nearword.plans.scratch import cut
 
-#: Features that a lowest cell holds on average over the bounding box; clusters are finer by EXTRA levels.
-LEAF, EXTRA, DEEPEST = 8, 2, 24
+#: Features that a lowest cell holds on average over the bounding box, and that it holds at most, unless it is of the deepest level.
+LEAF, FULLEST, DEEPEST = 8, 256, 24
 #: Levels that a descent takes at a time.
 STEP = 2
+#: Levels with 4**8 = 65,536 cells at most are broadcast, so no cell near the root is a key that all objects share.
+BROADCAST_LEVEL = 8
 _SLACK = 1 + 1e-12
 
 
@@ -68,51 +72,67 @@ class Quadtree:
         own = cut(own, "scored-features")  # every level and the last join start from these rows
         bounds = own.agg(F.count(F.lit(1)).alias("n"), F.min("lat"), F.min("lon"), F.max("lat"), F.max("lon")).first()
         self.n = bounds[0]
-        self.levels = 0
+        self.levels, self.side = 0, 0.0
         if not self.n:
             return
         lo_lat, lo_lon, hi_lat, hi_lon = (float(x) for x in bounds[1:])
-        side = max(hi_lat - lo_lat, hi_lon - lo_lon)
-        while side and 4**self.levels * LEAF < self.n and self.levels < DEEPEST - EXTRA:
-            self.levels += 1
-        self.levels += EXTRA if side else 0
-        self.levels += -self.levels % STEP
-        cells = 1 << self.levels
-
-        def index(c: str, lo: float) -> Column:
-            return F.least(F.floor((F.col(c) - lo) / (side or 1.0) * cells), F.lit(cells - 1)).cast("long")
-
-        self.features = own.withColumn("ix", index("lat", lo_lat)).withColumn("iy", index("lon", lo_lon))
+        side = self.side = max(hi_lat - lo_lat, hi_lon - lo_lon)
+        while side and 4**self.levels * LEAF < self.n and self.levels < DEEPEST:
+            self.levels += STEP
+
+        def at_level(level: int) -> DataFrame:
+            cells = 1 << level
+            index = lambda c, lo: F.least(F.floor((F.col(c) - lo) / (side or 1.0) * cells), F.lit(cells - 1)).cast("long")
+            return own.withColumn("ix", index("lat", lo_lat)).withColumn("iy", index("lon", lo_lon))
+
+        while side and self.levels < DEEPEST:
+            fullest = at_level(self.levels).groupBy("ix", "iy").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+            if fullest <= FULLEST:
+                break
+            self.levels += STEP
+        self.features = at_level(self.levels)
 
     def level(self, level: int) -> DataFrame:
         """(px, py: the cell STEP levels above; cx, cy; box; top) of the cells of a level that have features."""
         up = level - STEP
         at = {n: _cell(c, k, self.levels) for n, c, k in (("px", "ix", up), ("py", "iy", up), ("cx", "ix", level), ("cy", "iy", level))}
-        return self.features.groupBy(*[c.alias(n) for n, c in at.items()]).agg(
+        cells = self.features.groupBy(*[c.alias(n) for n, c in at.items()]).agg(
             F.min("lat").alias("b0"), F.min("lon").alias("b1"), F.max("lat").alias("b2"), F.max("lon").alias("b3"), F.max("theta").alias("top")
         )
+        return F.broadcast(cells) if level <= BROADCAST_LEVEL else cells
 
     def candidates(self, boxes: DataFrame, rule: str, radius: float) -> DataFrame:
-        """(key, cx, cy): for each box (key, a0, a1, a2, a3) the lowest cells that may hold the answer of a point in it.
+        """(key, ix, iy): for each box (key, a0, a1, a2, a3) the lowest cells that may hold the answer of a point in it."""
+        return self.descend(self.root(boxes), rule, radius, 0, self.levels).select("key", F.col("px").alias("ix"), F.col("py").alias("iy"))
+
+    def root(self, boxes: DataFrame) -> DataFrame:
+        """The boxes in the cell of level 0."""
+        return boxes.withColumn("px", F.lit(0).cast("long")).withColumn("py", F.lit(0).cast("long"))
 
-        A cell's bounds hold for every point of the box, so what is dropped is beaten for all of them.
+    def descend(self, live: DataFrame, rule: str, radius: float, start: int, end: int) -> DataFrame:
+        """The cells (px, py) of level ``end`` that may hold the answer of a point in a box, below those of level ``start``.
+
+        A cell's bounds hold for every point of the box, so what is dropped is beaten for all of them, or
+        equalled by what one cell is sure to hold, which stays.
         """
-        live = boxes.withColumn("px", F.lit(0).cast("long")).withColumn("py", F.lit(0).cast("long"))
         a, b = tuple(F.col(f"a{i}") for i in range(4)), tuple(F.col(f"b{i}") for i in range(4))
         low, high = formulas.rect_min_distance(a, b), formulas.rect_max_distance(a, b)
         own = Window.partitionBy("key")
-        for level in range(STEP, self.levels + 1, STEP):
+        for level in range(start + STEP, end + 1, STEP):
             met = live.join(self.level(level), ["px", "py"])
             if rule == NEAREST:
                 kept = met.withColumn("low", low).withColumn("bound", F.min(high).over(own)).where("low <= bound")
             elif rule == RANGE:
-                met = met.withColumn("low", low).where(F.col("low") <= radius)
-                kept = met.withColumn("bound", F.max(F.when(high <= radius, F.col("top"))).over(own)).where("bound IS NULL OR top >= bound")
+                sure = F.when(high <= radius, F.col("top"))  # the whole cell is in range, so its best feature is
+                met = met.withColumn("low", low).where(F.col("low") <= radius).withColumn("sure", sure)
+                best = own.orderBy(F.desc_nulls_last("sure"), "cx", "cy")
+                ranked = met.withColumn("bound", F.max("sure").over(own)).withColumn("rank", F.row_number().over(best))
+                kept = ranked.where("bound IS NULL OR top > bound OR rank = 1")
             else:
                 best = F.col("top") * formulas.decay(high, radius)
                 kept = met.withColumn("bound", F.max(best).over(own)).where(F.col("top") * formulas.decay(low, radius) * _SLACK >= F.col("bound"))
             live = kept.select("key", "a0", "a1", "a2", "a3", F.col("cx").alias("px"), F.col("cy").alias("py"))
-        return live.select("key", F.col("px").alias("ix"), F.col("py").alias("iy"))
+        return live
 
 
 def _boxes(objects: DataFrame, key: str = "id") -> DataFrame:
@@ -139,13 +159,31 @@ def _closest(objects: DataFrame, features: DataFrame) -> DataFrame:
     return met.select(F.col("key.id").alias("object_id"), "feature_id", dist.alias("distance"))
 
 
+def reached(tree: Quadtree, placed: DataFrame, rule: str, radius: float, grouped: bool) -> DataFrame:
+    """(id, o_lat, o_lon, ix, iy): the lowest cells that each object of ``placed`` (id, lat, lon) has to look into."""
+    points = _boxes(placed.withColumn("id", F.struct("id", "lat", "lon")))
+    live, start = tree.root(points), 0
+    if grouped:
+        span = placed.agg(F.count(F.lit(1)), F.min("lat"), F.min("lon"), F.max("lat"), F.max("lon")).first()
+        side = max(float(span[3] or 0) - float(span[1] or 0), float(span[4] or 0) - float(span[2] or 0)) / max(1.0, (span[0] / 64) ** 0.5)
+        while start + STEP <= tree.levels and tree.side >= side * (1 << start + STEP):
+            start += STEP
+        group = F.struct(F.floor(F.col("a0") / (side or 1.0)).alias("gx"), F.floor(F.col("a1") / (side or 1.0)).alias("gy"))
+        members = points.withColumn("group", group)
+        boxes = members.groupBy(F.col("group").alias("key")).agg(F.min("a0").alias("a0"), F.min("a1").alias("a1"), F.max("a2").alias("a2"), F.max("a3").alias("a3"))
+        found = tree.descend(tree.root(boxes), rule, radius, 0, start).select(F.col("key").alias("group"), "px", "py")
+        live = members.join(found, "group").drop("group")
+    found = tree.descend(live, rule, radius, start, tree.levels)
+    return found.select(F.col("key.id").alias("id"), F.col("key.lat").alias("o_lat"), F.col("key.lon").alias("o_lon"), F.col("px").alias("ix"), F.col("py").alias("iy"))
+
+
 def best_neighbour(objects: DataFrame, features: DataFrame, rule: str, radius: float, grouped: bool = False) -> DataFrame:
     """(id, score): the best score in each object's neighbourhood; objects without any are left out.
 
     range: the largest theta within ``radius``. nn: the theta of the nearest feature, the largest of equally
     near ones. influence: the largest theta * 2 ** (-distance / radius).
-    ``grouped``: objects descend in groups by cell with their bounding box, then each for itself; the result
-    is the same.
+    ``grouped``: objects descend in groups by cell with their bounding box, as long as the tree's cells are no
+    smaller than a group, then each for itself; the result is the same.
     """
     rule = formulas.neighbourhood(rule)
     if rule == INFLUENCE and radius <= 0 or radius < 0:
@@ -154,16 +192,7 @@ def best_neighbour(objects: DataFrame, features: DataFrame, rule: str, radius: f
     placed = objects.where("lat IS NOT NULL AND lon IS NOT NULL").select("id", "lat", "lon").distinct()
     if not tree.n:
         return placed.limit(0).select("id", F.lit(0.0).alias("score"))
-    if grouped:
-        span = placed.agg(F.count(F.lit(1)), F.min("lat"), F.min("lon"), F.max("lat"), F.max("lon")).first()
-        side = max(float(span[3] or 0) - float(span[1] or 0), float(span[4] or 0) - float(span[2] or 0)) / max(1.0, (span[0] / 64) ** 0.5)
-        group = F.struct(F.floor(F.col("lat") / (side or 1.0)).alias("gx"), F.floor(F.col("lon") / (side or 1.0)).alias("gy"))
-        members = placed.withColumn("key", group)
-        boxes = members.groupBy("key").agg(F.min("lat").alias("a0"), F.min("lon").alias("a1"), F.max("lat").alias("a2"), F.max("lon").alias("a3"))
-        cells = members.join(tree.candidates(boxes, rule, radius), "key").select("id", F.col("lat").alias("o_lat"), F.col("lon").alias("o_lon"), "ix", "iy")
-    else:
-        packed = placed.withColumn("id", F.struct("id", "lat", "lon"))
-        cells = tree.candidates(_boxes(packed), rule, radius).select(F.col("key.id").alias("id"), F.col("key.lat").alias("o_lat"), F.col("key.lon").alias("o_lon"), "ix", "iy")
+    cells = reached(tree, placed, rule, radius, grouped)
     met = cells.join(tree.features.select("ix", "iy", F.col("lat").alias("f_lat"), F.col("lon").alias("f_lon"), "theta"), ["ix", "iy"])
     met = met.withColumn("distance", formulas.distance(F.col("o_lat"), F.col("o_lon"), F.col("f_lat"), F.col("f_lon")))
     if rule == RANGE:
