@@ -1,10 +1,13 @@
-"""Query workloads: points and keywords, drawn by seeded hashes so that a run can be repeated anywhere."""
+"""Query workloads: points and keywords, drawn by seeded hashes so that a run can be repeated anywhere.
+
+A draw's number is made of the first 52 bits of the MD5 of its values and the seed, which any engine can compute.
+"""
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,12 +27,18 @@ class Query:
 
 def uniform(seed: int, *columns: str) -> Column:
     """A number in (0, 1) that depends on the columns and the seed alone."""
-    return (F.pmod(F.xxhash64(*columns, F.lit(seed)), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
+    key = F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in columns], F.lit(str(seed))))
+    return (F.conv(F.substring(key, 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
+
+
+def drawn(seed: int, *values: object) -> float:
+    """The same of values on the driver."""
+    return (int(hashlib.md5("|".join(map(str, (*values, seed))).encode()).hexdigest()[:13], 16) + 0.5) / float(1 << 52)
 
 
 def query_points(n: int, space_max: float, seed: int) -> list[tuple[float, float]]:
     """``n`` points in the square from 0 to ``space_max``."""
-    return [(float(a), float(b)) for a, b in np.random.default_rng(seed).random((n, 2)) * space_max]
+    return [(drawn(seed, i, "lat") * space_max, drawn(seed, i, "lon") * space_max) for i in range(n)]
 
 
 def random_keywords(term_info: DataFrame, n: int, seed: int) -> DataFrame:

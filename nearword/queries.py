@@ -7,15 +7,16 @@ arithmetic that is exact in any engine. All queries run over whole tables.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearword.functions import formulas
 from nearword.operators import search, spatial, weights
-from nearword.plans import index, workload
+from nearword.plans import experiment, index, workload
 from nearword.plans.scratch import scratch_path
-from nearword.sources import text
+from nearword.sources import properties, text
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -59,8 +60,7 @@ def _index(spark: SparkSession, sf_dir: str, keywords: str = KEYWORDS) -> index.
 
 
 def _postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = features(spark, sf_dir)
-    return weights.impacts(weights.term_frequency(own)).join(own.select("id", "lat", "lon"), "id").select("term", "id", "lat", "lon", "impact")
+    return weights.postings(features(spark, sf_dir))
 
 
 def _rounded(df: DataFrame, *names: str) -> DataFrame:
@@ -118,7 +118,7 @@ def _saved(spark: SparkSession, sf_dir: str, kind: str) -> index.Index:
 
 def if_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = _saved(spark, sf_dir, "if")
-    return _rounded(index.compacted(i.postings, i.term_info, "if").groupBy("id").agg(F.count("term_id").alias("n_terms"), F.sum("impact").alias("total")), "total")
+    return _rounded(index.compacted(i).groupBy("id").agg(F.count("term_id").alias("n_terms"), F.sum("impact").alias("total")), "total")
 
 
 def if_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,7 +133,7 @@ def index_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     index.save(index.build(every.where(~later)), path)
     index.append(spark, path, every.where(later))
     i = index.open_index(spark, path)
-    own = i.postings.groupBy("term").agg(F.count(F.lit(1)).alias("n_postings"))
+    own = i.named().groupBy("term").agg(F.count(F.lit(1)).alias("n_postings"))
     return i.term_info.select("term", "df", "hot").join(own, "term").withColumn("n_features", i.meta.scalar())
 
 
@@ -161,6 +161,151 @@ def line_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.numbered_lines(spark, path).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("line_no").alias("n_numbers"), F.min("line_no").alias("least"), F.max("line_no").alias("most"), F.sum(F.col("line").cast("long")).alias("total"))
 
 
+SMALL_BLOCK = 1024
+
+
+def index_reopened(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hot terms of an inverted file with small blocks, after an append and in another reader."""
+    path = scratch_path(spark, "index-small")
+    every, later = features(spark, sf_dir), F.col("id") % 2 == 0
+    index.save(index.build(every.where(~later), "if", SMALL_BLOCK), path)
+    index.save(index.build(every.where(~later), "if", SMALL_BLOCK), path, "overwrite")
+    index.append(spark, path, every.where(later), "second")
+    index.append(spark, path, every.where(later), "second")  # the same batch again
+    return index.open_index(spark, path).term_info.select("term", "df", "hot")
+
+
+def stored_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _saved(spark, sf_dir, "s2i").doc_length.select("id", F.col("num_words").cast("long").alias("num_words"))
+
+
+def stored_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Postings as stored, by term_id, with the terms that the vocabulary gives them."""
+    i = _saved(spark, sf_dir, "s2i")
+    stored = index.compacted(i).join(i.term_info.select("term_id", "term", "df"), "term_id")
+    return _rounded(stored.select("term", F.col("id").cast("long").alias("id"), "lat", "lon", "impact", "df"), "impact")
+
+
+def built_message(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.built_message(index.build(features(spark, sf_dir)))
+
+
+def _feature_file(spark: SparkSession, sf_dir: str) -> str:
+    """Parts as one feature file in order of id, texts in upper case."""
+    path = scratch_path(spark, "features")
+    own = short_features(spark, sf_dir).repartition(1).sortWithinPartitions("id")
+    own.select(F.concat_ws(" ", "id", "lat", "lon", F.upper("text")).alias("value")).write.text(path)
+    return path
+
+
+def _object_file(spark: SparkSession, sf_dir: str) -> str:
+    """Customers as one object file in order of id, so that a line's number is a customer's rank."""
+    path = scratch_path(spark, "objects")
+    own = objects(spark, sf_dir).repartition(1).sortWithinPartitions("id")
+    own.select(F.concat_ws(" ", F.lit("x"), "lat", "lon", F.lit("(tag) name")).alias("value")).write.text(path)
+    return path
+
+
+def feature_file_lower(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text.read_features(spark, _feature_file(spark, sf_dir), "failfast", lower=True)
+
+
+def feature_file_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first features of a file, as the option for the most tuples asks."""
+    return text.read_features(spark, _feature_file(spark, sf_dir), most=100)
+
+
+def objects_loaded_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Objects by line number, from the table that the first of two loads made."""
+    path, made = _object_file(spark, sf_dir), scratch_path(spark, "objects-table")
+    text.load_objects_once(spark, path, made)
+    return text.load_objects_once(spark, path, made)
+
+
+def result_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Result rows appended to text in two runs, as lines."""
+    path = scratch_path(spark, "results")
+    rows = objects(spark, sf_dir).select("id", (F.col("id") % 4).alias("code"))
+    for part in (0, 1):
+        text.append_rows(rows.where(F.col("id") % 2 == part), path)
+    return spark.read.text(path).select(F.col("value").alias("line"))
+
+
+def near_equality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Equality of rows whose scores differ by less than the tolerance, or by more."""
+    own = objects(spark, sf_dir).withColumn("score", F.col("lat"))
+    a = {c: F.col(c) for c in ("id", "lat", "lon", "score")}
+    b = a | {"score": F.col("score") + (F.col("id") % 3) * 6e-10}
+    return own.select("id", formulas.nearly_equal(a, b).alias("same"))
+
+
+CONFIG = """# an experiment
+experiment.name = {names}
+experiment.folder = {folder}
+experiment.startRound = 1
+experiment.endRound = {rounds}
+dataset.featuresFile = {features}
+dataset.objectsFile = {objects}
+dataset.spaceMaxValue = 1
+query.type = {kind}
+query.keywords = [Small, ring, qqqq]
+query.numKeywords = 2
+query.numMostFrequentTerms = 6
+query.numQueries = 3
+query.numWarmUpQueries = 1
+query.numResults = 20
+query.neighborhood = {rules}
+query.radius = 0.05
+query.alpha = 0.3
+"""
+
+
+def _configured(spark: SparkSession, sf_dir: str, names: str, rules: str = "1", kind: str = "custom") -> list[experiment.Outcome]:
+    """The outcomes of a configuration that is read from a file, over feature and object files."""
+    folder, path = scratch_path(spark, "experiment"), scratch_path(spark, "configuration")
+    config = CONFIG.format(names=names, folder=folder, rounds=1, features=_feature_file(spark, sf_dir), objects=_object_file(spark, sf_dir), kind=kind, rules=rules)
+    spark.createDataFrame([(config,)], "value string").coalesce(1).write.text(path)
+    return experiment.run_all(spark, path, shared=True)
+
+
+def _all_rows(found: list[experiment.Outcome]) -> DataFrame:
+    """The results of all searches, with their rule."""
+    searches = [o for o in found if o.postings]
+    return reduce(DataFrame.unionByName, [o.rows.withColumn("rule", F.lit(o.config.neighbourhood)) for o in searches])
+
+
+def config_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A build and preference searches by every rule."""
+    return _all_rows(_configured(spark, sf_dir, "S2IBuildIndex;PreferenceSearch", "1;0;2"))
+
+
+def config_if_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _all_rows(_configured(spark, sf_dir, "IFBuildIndex;IFSearch"))
+
+
+def config_blended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Searches that blend distance and text, at drawn points."""
+    return _all_rows(_configured(spark, sf_dir, "S2IBuildIndex;S2ISearch")).drop("rule")
+
+
+def config_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each query of a workload of frequent terms asked and read."""
+    found = [o for o in _configured(spark, sf_dir, "S2IBuildIndex;S2ISearch", kind="mostFrequent") if o.postings]
+    asked = [sorted({r[0]: r[1] for r in o.rows.select("query_no", "keywords").distinct().collect()}.items()) for o in found]  # a row per query
+    rows = [(no, " ".join(sorted(words.split())), n) for o, own in zip(found, asked, strict=True) for (no, words), n in zip(own, o.postings, strict=True)]
+    return spark.createDataFrame(rows, "query_no int, keywords string, n_postings long")
+
+
+SWEEP = "experiment.name = PreferenceSearch\nquery.neighborhood = 1;nn\nquery.numResults = 5;10\nexperiment.startRound=2\nexperiment.endRound=3\ndataset.featuresFile=/data/town-bars.txt\n! no\nquery.radius : 0.5\n"
+
+
+def config_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The experiments that a configuration with several values stands for; no table is read."""
+    made = [properties.config(p) for p in properties.sweep(properties.parse(SWEEP))]
+    rows = [(c.name, c.neighbourhood, c.k, c.radius, c.round, c.seed, c.label) for c in made]
+    return spark.createDataFrame(rows, "name string, rule string, k int, radius double, round int, seed long, label string")
+
+
 def codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = (F.col("id") % 4).cast("int")
     return objects(spark, sf_dir).select("id", formulas.neighbourhood_name(n).alias("rule"), formulas.storage_bucket(F.col("id") * 12345).alias("bucket"), formulas.rendered(id=F.col("id"), code=n).alias("shown"))
@@ -177,6 +322,7 @@ def _workload(draw: Callable[[DataFrame], DataFrame]) -> Query:
 
 
 def query_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points of a workload; no table is read."""
     return spark.createDataFrame(workload.query_points(10, 1.0, 7), "lat double, lon double")
 
 
@@ -184,7 +330,7 @@ QUERIES: dict[str, Query] = {
     "text_tokens": text_tokens,
     "term_frequency": _tf,
     "doc_length": lambda s, d: weights.doc_length(features(s, d)).select("id", F.col("num_words").cast("long").alias("num_words")),
-    "doc_norm": lambda s, d: _rounded(weights.doc_norm(_tf(s, d)), "norm"),
+    "doc_norm": lambda s, d: _rounded(weights.norms(features(s, d)), "norm"),
     "postings_impact": lambda s, d: _rounded(_postings(s, d), "impact"),
     "document_frequency": lambda s, d: weights.document_frequency(_tf(s, d)),
     "vocabulary_size": lambda s, d: weights.vocabulary_size(_tf(s, d)),
@@ -219,6 +365,20 @@ QUERIES: dict[str, Query] = {
     "object_file": object_file,
     "line_numbers": line_numbers,
     "codes": codes,
+    "index_reopened": index_reopened,
+    "stored_lengths": stored_lengths,
+    "stored_postings": stored_postings,
+    "built_message": built_message,
+    "feature_file_lower": feature_file_lower,
+    "feature_file_first": feature_file_first,
+    "objects_loaded_once": objects_loaded_once,
+    "result_lines": result_lines,
+    "near_equality": near_equality,
+    "config_preference": config_preference,
+    "config_if_search": config_if_search,
+    "config_blended": config_blended,
+    "config_statistics": config_statistics,
+    "config_sweep": config_sweep,
     "random_keywords": _workload(lambda t: workload.random_keywords(t, 5, 7)),
     "frequent_keywords": _workload(lambda t: workload.frequent_keywords(t, 5, K, 7)),
     "proportional_keywords": _workload(lambda t: workload.proportional_keywords(t, 5, 7)),
@@ -226,6 +386,11 @@ QUERIES: dict[str, Query] = {
 }
 
 
+def _uniform(seed: int, *values: str) -> str:
+    key = " || '|' || ".join(f"{v}::VARCHAR" for v in values)
+    return f"((('0x' || substr(md5({key} || '|{seed}'), 1, 13))::BIGINT + 0.5e0) / 4503599627370496.0e0)"
+
+
 _FEATURES = r"""
 feat AS (SELECT doc_id AS id, ((doc_id * 5779) % 10007) / 10007.0e0 AS lat, ((doc_id * 3571) % 10009) / 10009.0e0 AS lon, text FROM documents),
 lists AS (SELECT id, [x FOR x IN regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+') IF x <> ''] AS t, text FROM feat),
@@ -324,3 +489,64 @@ SELECT c_custkey AS id, CASE c_custkey % 4 WHEN 0 THEN 'nn' WHEN 1 THEN 'range'
     concat(c_custkey * 12345 // 1000000, '/', c_custkey * 12345 // 1000) AS bucket, concat('id=', c_custkey, ' code=', c_custkey % 4) AS shown
 FROM customer""",
 }
+
+_SHORT = r"""
+feat AS (SELECT p_partkey AS id, ((p_partkey * 4099) % 10007) / 10007.0e0 AS lat, ((p_partkey * 8219) % 10009) / 10009.0e0 AS lon, p_name AS text FROM part),
+lists AS (SELECT id, [x FOR x IN regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+') IF x <> ''] AS t, text FROM feat),
+tf AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(t) AS term FROM lists) GROUP BY id, term)"""
+_LINES = """
+obj AS (SELECT row_number() OVER (ORDER BY c_custkey) AS id, ((c_custkey * 7919) % 10007) / 10007.0e0 AS lat, ((c_custkey * 6271) % 10009) / 10009.0e0 AS lon FROM customer)"""
+_ASKED = _weights("small", "ring")
+_CONFIG_SEED = properties.Config(features="features").seed  # of the feature file's folder and the first round
+
+
+def _configured_sql(rules: dict[str, str]) -> str:
+    """Preference searches of three queries of the same keywords, by rule."""
+    one = " UNION ALL ".join(f"SELECT '{rule}' AS rule, * FROM (SELECT id, lat, lon, round(coalesce(score, 0.0e0), 9) AS score FROM obj LEFT JOIN ({sql}) USING (id) ORDER BY score DESC, id DESC LIMIT 20)" for rule, sql in rules.items())
+    return f"""
+WITH {_SHORT}, {_LINES}, {_POSTINGS}, {_ASKED},
+pairs AS (SELECT obj.id, theta.theta, {_DISTANCE} AS distance FROM obj CROSS JOIN theta), found AS ({one})
+SELECT q::INTEGER AS query_no, 'small ring qqqq' AS keywords, id, lat, lon, score, rule FROM found, range(3) t(q)"""
+
+
+def _drawn_points(n: int, warm: int, seed: int) -> str:
+    points = [(i - warm, *p) for i, p in enumerate(workload.query_points(n + warm, 1.0, seed)) if i >= warm]
+    return ", ".join(f"({i}, {a!r}::DOUBLE, {b!r}::DOUBLE)" for i, a, b in points)
+
+
+_IN_RANGE = f"SELECT id, max(theta) AS score FROM pairs WHERE distance <= {RADIUS} GROUP BY id"
+_NEAREST = "SELECT id, max(theta) AS score FROM (SELECT *, rank() OVER (PARTITION BY id ORDER BY distance) AS r FROM pairs) WHERE r = 1 GROUP BY id"
+_FROM_QUERY = "sqrt((theta.lat - q.lat) * (theta.lat - q.lat) + (theta.lon - q.lon) * (theta.lon - q.lon))"
+
+ORACLE_SQL |= {
+    "random_keywords": f"WITH {_FEATURES}, {_POSTINGS} SELECT term FROM info ORDER BY {_uniform(7, 'term')}, term LIMIT 5",
+    "frequent_keywords": f"WITH {_FEATURES}, {_POSTINGS} SELECT term FROM (SELECT term FROM info ORDER BY df DESC, term LIMIT {K}) ORDER BY {_uniform(7, 'term')}, term LIMIT 5",
+    "proportional_keywords": f"WITH {_FEATURES}, {_POSTINGS} SELECT term FROM info ORDER BY -ln({_uniform(7, 'term')}) / df, term LIMIT 5",
+    "query_points": f"SELECT {_uniform(7, 'i', chr(39) + 'lat' + chr(39))} AS lat, {_uniform(7, 'i', chr(39) + 'lon' + chr(39))} AS lon FROM range(10) t(i)",
+    "index_reopened": f"WITH {_FEATURES}, {_POSTINGS} SELECT term, df, df > {SMALL_BLOCK // 32} AS hot FROM info",
+    "stored_lengths": f"WITH {_FEATURES} SELECT id, len(t) AS num_words FROM lists WHERE len(t) > 0",
+    "stored_postings": f"WITH {_FEATURES}, {_POSTINGS} SELECT term, id, lat, lon, round(impact, 9) AS impact, df FROM post JOIN info USING (term)",
+    "built_message": "SELECT concat('indexed ', count(*), ' features') AS message FROM documents",
+    "feature_file_lower": f"WITH {_SHORT} SELECT id::INTEGER AS id, lat, lon, lower(text) AS text FROM feat",
+    "feature_file_first": f"WITH {_SHORT} SELECT id::INTEGER AS id, lat, lon, upper(text) AS text FROM feat ORDER BY id LIMIT 100",
+    "objects_loaded_once": f"WITH {_LINES} SELECT id, lat, lon FROM obj",
+    "result_lines": "SELECT concat(c_custkey, ' ', c_custkey % 4) AS line FROM customer",
+    "near_equality": "SELECT c_custkey AS id, c_custkey % 3 < 2 AS same FROM customer",
+    "config_preference": _configured_sql({"range": _IN_RANGE, "nn": _NEAREST, "influence": _DECAYED}),
+    "config_if_search": _configured_sql({"range": _IN_RANGE}),
+    "config_blended": f"""
+WITH {_SHORT}, {_POSTINGS}, {_ASKED}, q(query_no, lat, lon) AS (VALUES {_drawn_points(3, 1, _CONFIG_SEED)}),
+scored AS (SELECT query_no, id, theta.lat, theta.lon, round(0.3e0 * (1 - {_FROM_QUERY} / sqrt(2.0e0)) + theta, 9) AS score, round({_FROM_QUERY}, 9) AS distance FROM theta, q)
+SELECT query_no::INTEGER AS query_no, 'small ring qqqq' AS keywords, id::INTEGER AS id, lat, lon, score, distance
+FROM scored QUALIFY row_number() OVER (PARTITION BY query_no ORDER BY score DESC, id DESC) <= 20""",
+    "config_statistics": f"""
+WITH {_SHORT}, {_POSTINGS}, top AS (SELECT term, df FROM info ORDER BY df DESC, term LIMIT 6),
+drawn AS ({" UNION ALL ".join(f"(SELECT {i} AS query_no, term, df FROM top ORDER BY {_uniform(_CONFIG_SEED + i + 1, 'term')}, term LIMIT 2)" for i in range(3))})
+SELECT query_no::INTEGER AS query_no, string_agg(term, ' ' ORDER BY term) AS keywords, sum(df)::BIGINT AS n_postings FROM drawn GROUP BY query_no""",
+    "config_sweep": "SELECT * FROM (VALUES "
+    + ", ".join(
+        f"('PreferenceSearch', '{rule}', {k}::INTEGER, 0.5::DOUBLE, {n}::INTEGER, {properties.Config(features='town', round=n).seed}::BIGINT, 'PreferenceSearch-town-{rule}-k{k}-q1-r0.5-round{n}')"
+        for rule in ("range", "nn") for k in (5, 10) for n in (2, 3)
+    )
+    + ") t(name, rule, k, radius, round, seed, label)",
+}

@@ -9,6 +9,8 @@ from dataclasses import dataclass, field
 from nearword.functions.formulas import neighbourhood
 
 BUILD_IF, BUILD_S2I, SEARCH_IF, SEARCH_PREFERENCE = "IFBuildIndex", "S2IBuildIndex", "IFSearch", "PreferenceSearch"
+#: The search that blends distance and text, for which configurations have no name of their own elsewhere.
+SEARCH_BLENDED = "S2ISearch"
 
 
 def parse(text: str) -> dict[str, str]:
@@ -23,7 +25,10 @@ def parse(text: str) -> dict[str, str]:
     return out
 
 
-def load(path: str) -> dict[str, str]:
+def load(path: str, spark=None) -> dict[str, str]:
+    """A file of the driver, or with a session one of any store that Spark reads."""
+    if spark is not None:
+        return parse(spark.read.text(path, wholetext=True).first()[0])
     with open(path, encoding="utf-8") as f:
         return parse(f.read())
 
@@ -50,6 +55,7 @@ class Config:
     keywords: str = ""
     neighbourhood: str = "range"
     radius: float = 0.005
+    alpha: float = 0.5
     n_warm_up: int = 0
     grouped: bool = False
     debug: bool = False
@@ -80,7 +86,7 @@ class Config:
 KEYS = {
     "experiment.name": "name", "experiment.round": "round", "experiment.debug": "debug", "experiment.plusMode": "grouped", "experiment.folder": "folder", "experiment.output": "output",
     "query.numKeywords": "n_keywords", "query.numResults": "k", "query.numQueries": "n_queries", "query.type": "query_type", "query.numMostFrequentTerms": "n_most_frequent", "query.keywords": "keywords",
-    "query.neighborhood": "neighbourhood", "query.radius": "radius", "query.numWarmUpQueries": "n_warm_up",
+    "query.neighborhood": "neighbourhood", "query.radius": "radius", "query.alpha": "alpha", "query.numWarmUpQueries": "n_warm_up",
     "dataset.featuresFile": "features", "dataset.objectsFile": "objects", "dataset.spaceMaxValue": "space_max", "dataset.maxNumTuples": "most_tuples", "disk.blockSize": "block_size",
 }
 
@@ -104,8 +110,8 @@ def config(properties: dict[str, str]) -> Config:
     return Config(**values, other=other)
 
 
-def configs(path: str) -> list[Config]:
-    return [config(p) for p in sweep(load(path))]
+def configs(path: str, spark=None) -> list[Config]:
+    return [config(p) for p in sweep(load(path, spark))]
 
 
 def dataset_name(path: str) -> str:

@@ -9,6 +9,9 @@ from pyspark.sql.window import Window
 
 FEATURES = T.StructType([T.StructField("id", T.IntegerType()), T.StructField("lat", T.DoubleType()), T.StructField("lon", T.DoubleType()), T.StructField("text", T.StringType())])
 
+#: Partitions of a text whose counts are broadcast, 16 bytes each.
+MOST_PARTITIONS = 1 << 20
+
 #: White space that may separate the fields of an object.
 BLANKS = r"\s+"
 
@@ -21,13 +24,16 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """(line_no, line) of text files, from 1 in the order of Spark's partitions.
 
     Lines are numbered within their partition as they are read; partitions are then offset by the counts
-    before them, one row each. A null line cannot occur; an empty file has no rows.
+    before them, one row each, which are broadcast up to MOST_PARTITIONS. A null line cannot occur; an empty
+    file has no rows.
     """
-    seen = _lines(spark, path).withColumn("__seq", F.monotonically_increasing_id())
+    lines = _lines(spark, path)
+    few = lines.rdd.getNumPartitions() <= MOST_PARTITIONS
+    seen = lines.withColumn("__seq", F.monotonically_increasing_id())
     seen = seen.withColumn("__part", F.shiftright("__seq", 33)).withColumn("__at", F.col("__seq").bitwiseAND(F.lit((1 << 33) - 1)))
     counts = seen.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
     before = counts.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))
-    return seen.join(F.broadcast(before), "__part").select((F.col("__before") + F.col("__at") + 1).alias("line_no"), "line")
+    return seen.join(F.broadcast(before) if few else before, "__part").select((F.col("__before") + F.col("__at") + 1).alias("line_no"), "line")
 
 
 def _split_features(lines: DataFrame) -> DataFrame:

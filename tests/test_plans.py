@@ -29,7 +29,8 @@ def test_index_round_trip_and_append(spark, features, tmp_path):
     ids = {r["term"]: r["term_id"] for r in opened.term_info.collect()}
     assert sorted(ids.values()) == [0, 1, 2, 3] and all(ids[t] == i for t, i in first.items())
     whole = index.build(features)
-    impacts = lambda i: {(r["term"], r["id"]): r["impact"] for r in i.postings.collect()}
+    impacts = lambda i: {(r["term"], r["id"]): r["impact"] for r in i.named().collect()}
+    assert opened.postings.columns == ["term_id", "id", "lat", "lon", "impact"]
     assert impacts(opened) == pytest.approx(impacts(whole))
     assert {r["id"]: r["num_words"] for r in opened.doc_length.collect()} == {1: 3, 2: 2, 4: 2}
     sizes = {r["name"]: r["bytes"] for r in index.stored_bytes(spark, path).collect()}
@@ -49,13 +50,75 @@ def test_build_options(spark, features):
         index.build(features.union(features.limit(1)), unique=True).postings.collect()
     with pytest.raises(ValueError):
         index.build(features, "tree")
-    stored = index.compacted(index.build(features, "if").postings, index.build(features, "if").term_info, "if")
+    stored = index.compacted(index.build(features, "if"))
     assert dict(stored.dtypes)["id"] == "bigint" and stored.count() == 6
     stats = index.build_stats(features).first()
     assert (stats["n_features"], stats["total_words"], stats["dataset_lines"], stats["n_terms"], stats["list_bytes"]) == (4, 7, 3, 4, 168)
     assert index.build(features.limit(0)).postings.count() == 0
 
 
+def test_kind_and_block_size_are_stored(spark, tmp_path):
+    """A term that is hot when built is hot when the index is opened again, and after an append."""
+    rows = spark.createDataFrame([(i, 0.1, 0.1, "sea") for i in range(140)], SCHEMA)
+    path = f"file://{tmp_path}/i"
+    built = index.build(rows, "if")
+    index.save(built, path)
+    assert built.term_info.first()["hot"] and index.open_index(spark, path).term_info.first()["hot"]
+    index.append(spark, path, spark.createDataFrame([(500 + i, 0.1, 0.1, "bar") for i in range(140)], SCHEMA))
+    opened = index.open_index(spark, path)
+    assert (opened.kind, opened.block_size) == ("if", 4096) and all(r["hot"] for r in opened.term_info.collect())
+
+
+def test_only_whole_writes_count(spark, features, tmp_path, monkeypatch):
+    path = f"file://{tmp_path}/i"
+    with pytest.raises(FileNotFoundError):
+        index.open_index(spark, path)
+    index.save(index.build(features.where("id < 3")), path)
+    with pytest.raises(FileExistsError):
+        index.save(index.build(features), path)
+    root = index.current(spark, path)
+    index.append(spark, path, features.where("id = 3"), "a")
+    index.remove(spark, f"{root}/meta/batch=a")  # an append that stopped before its meta
+    opened = index.open_index(spark, path)
+    assert opened.meta.first()[0] == 2 and info(opened) == {"sea": 1, "view": 1, "old": 1, "bar": 1}
+    assert {r["id"] for r in opened.postings.collect()} == {1, 2}
+
+    def broken(*_):
+        raise RuntimeError("stopped")
+
+    with monkeypatch.context() as m:
+        m.setattr(index, "_clustered", broken)
+        with pytest.raises(RuntimeError, match="stopped"):
+            index.save(index.build(features), path, "overwrite")
+    assert index.open_index(spark, path).meta.first()[0] == 2  # the old one is still there
+    index.save(index.build(features), path, "overwrite")
+    assert index.open_index(spark, path).meta.first()[0] == 4 and index.current(spark, path) != root
+    with pytest.raises(ValueError):
+        index.save(index.build(features), path, "append")
+
+
+def test_shared_folder_is_asked_for_on_a_cluster(spark, monkeypatch):
+    from nearword.plans import scratch
+
+    class Conf:
+        get = staticmethod(lambda *_: None)
+
+    class Context:
+        master, getConf = "spark://a:7077", staticmethod(lambda: Conf)
+
+    class Session:
+        conf, sparkContext = Conf, Context
+
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        scratch.shared_base(Session)
+    path = scratch.scratch_path(spark, "gone")
+    spark.range(3).write.parquet(path)
+    monkeypatch.setattr(scratch, "_made", {path: spark})
+    scratch.clear()
+    files, made = scratch.store(spark, path)
+    assert not files.exists(made(path))
+
+
 def test_workload(spark, features):
     terms = index.build(features).term_info.persist()
     assert [r[0] for r in workload.frequent_keywords(terms, 2, 2, 1).collect()] in (["bar", "sea"], ["sea", "bar"])
@@ -82,6 +145,8 @@ def test_experiments(spark, tmp_path):
     assert [(r["query_no"], r["id"]) for r in ranged] == [(0, 1), (0, 2)] and ranged[0]["score"] > ranged[1]["score"] > 0
     assert len(out[2].seconds) == 1 and out[2].average_ms > 0
     assert spark.read.text(f"file://{tmp_path}/out").count() == 4
+    blended = experiment.run(spark, properties.Config(name="S2ISearch", folder=f"{tmp_path}/run", features=f"{tmp_path}/town-bars.txt", query_type="custom", keywords="sea", k=3, space_max=1.0))
+    assert [r["id"] for r in blended.rows.collect()] and blended.rows.columns[-2:] == ["score", "distance"] and blended.postings == [2]
     with pytest.raises(ValueError):
         experiment.run(spark, properties.Config(name="Other"))
 

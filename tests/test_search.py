@@ -93,7 +93,7 @@ def test_hand_computed_weights(spark):
     tf = weights.term_frequency(rows)
     assert sorted(tuple(r) for r in tf.collect()) == [(1, "a", 2), (1, "b", 1), (2, "b", 1)]
     wa = 1 + math.log(2)
-    impact = {(r["id"], r["term"]): r["impact"] for r in weights.impacts(tf).collect()}
+    impact = {(r["id"], r["term"]): r["impact"] for r in weights.postings(rows).collect()}
     assert impact == pytest.approx({(1, "a"): wa / math.hypot(wa, 1), (1, "b"): 1 / math.hypot(wa, 1), (2, "b"): 1.0})
     assert weights.dataset_size(rows).first()[0] == 4
     assert sorted(tuple(r) for r in weights.doc_length(rows).collect()) == [(1, 3), (2, 1)]
@@ -133,3 +133,49 @@ def test_skewed_places(spark):
     o = spark.createDataFrame([(1, 0.5, 0.5), (2, 900.0, 900.0), (3, 0.5, 0.51)], "id int, lat double, lon double")
     assert {r[0]: r[1] for r in spatial.best_neighbour(o, f, "nn", 0.0).collect()} == {1: 0.99, 2: 5.0, 3: 0.99}
     assert {r[0]: r[1] for r in spatial.best_neighbour(o, f, "range", 0.01).collect()} == {1: 0.99} | ({3: 0.99} if 0.51 - 0.5 <= 0.01 else {})
+
+
+def test_repeated_ids_are_one_text(spark):
+    rows = spark.createDataFrame([(1, 0.2, 0.0, "a b"), (1, 0.1, 0.0, "a"), (2, 0.0, 0.0, "b"), (None, 0.0, 0.0, "c"), (None, 0.0, 0.0, "c d"), (3, 0.0, 0.0, None), (3, 0.0, 0.0, "")], "id int, lat double, lon double, text string")
+    assert sorted(map(str, weights.term_frequency(rows).collect())) == sorted(map(str, weights.text_tokens(rows).groupBy("id", "term").count().withColumnRenamed("count", "tf").collect()))
+    wa = 1 + math.log(2)
+    found = {(r["id"], r["term"]): (r["lat"], r["impact"]) for r in weights.postings(rows).collect()}
+    assert found[1, "a"] == (0.1, pytest.approx(wa / math.hypot(wa, 1))) and found[2, "b"] == (0.0, 1.0) and len(found) == 5
+    assert {r["id"]: r["norm"] for r in weights.norms(rows).collect()}[1] == pytest.approx(math.hypot(wa, 1))
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.text("ab1é -,", max_size=14), max_size=8))
+def test_counts_equal_a_counter(spark, texts):
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    expected = {(i, t): n for i, text in enumerate(texts) for t, n in Counter(re.findall(r"[^\W_]+", text.lower())).items()}
+    assert {(r["id"], r["term"]): r["tf"] for r in weights.term_frequency(rows).collect()} == expected
+
+
+def test_texts_are_not_shuffled(spark):
+    rows = spark.createDataFrame(made(5, 50), "id int, lat double, lon double, text string")
+    plan = weights.postings(rows)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    index.for_query(rows, "sea view")
+
+
+@pytest.mark.parametrize("grouped", [False, True])
+def test_equal_scores_form_few_pairs(spark, grouped):
+    """What an object meets doesn't grow with the number of features that have one score."""
+    r = random.Random(2)
+    o = spark.createDataFrame([(i, r.random(), r.random()) for i in range(300)], "id int, lat double, lon double").persist()
+    met = []
+    for n in (2000, 32000):
+        f = spark.createDataFrame([(r.random(), r.random(), 1.0) for _ in range(n)], "lat double, lon double, theta double").persist()
+        tree = spatial.Quadtree(f)
+        cells = spatial.reached(tree, o.distinct(), "range", 0.3, grouped).persist()
+        met.append(cells.join(tree.features, ["ix", "iy"]).count() / 300)
+        assert {x["score"] for x in spatial.best_neighbour(o, f, "range", 0.3, grouped).collect()} == {1.0}
+    assert max(met) < 40, met
+
+
+def test_dense_features_make_the_tree_deeper(spark):
+    r = random.Random(3)
+    f = spark.createDataFrame([(0.5 + r.random() * 1e-4, 0.5 + r.random() * 1e-4, r.random()) for _ in range(6000)] + [(0.0, 0.0, 0.5), (1.0, 1.0, 0.5)], "lat double, lon double, theta double")
+    tree = spatial.Quadtree(f)
+    assert tree.features.groupBy("ix", "iy").count().agg({"count": "max"}).first()[0] <= spatial.FULLEST

@@ -62,6 +62,6 @@ def test_properties():
     assert [(c.neighbourhood, c.round) for c in made] == [("range", 1), ("range", 2), ("nn", 1), ("nn", 2)]
     assert made[0].grouped and made[0].name == "IFSearch" and made[0].radius == 0.5 and made[0].other["odd.key"] == "x y"
     assert made[0].seed == made[2].seed != made[1].seed
-    assert properties.dataset_name("/a/b/venice-hotel.txt") == "venice"
+    assert properties.dataset_name("/a/b/harbour-inns.txt") == "harbour"
     with pytest.raises(ValueError):
         properties.config({"query.neighborhood": "5"})
