@@ -17,12 +17,13 @@ Links are exact: each is confirmed on the two full sets. The steps:
    anew; that leaves documents that have no link to most of their bucket.
 4. These are compared with all members of other components in their buckets, which makes the result exact;
    a bucket's largest component is only met, never joined with itself, and a pair is formed in the first of
-   the buckets that it shares alone.
+   the buckets that it shares alone. Members of a large bucket are met in chunks of CHUNK_ROWS, each a key of
+   its own, so no task gets a bucket whole.
 
 Before texts are fetched, pairs whose set sizes exclude the threshold are left out, and those whose sketches
 (two bits of each signature value) agree in fewer places than a pair at the threshold does but once in
 10**6. For the last step, sketches have one bit of 6144 values: they leave out pairs below about J = 0.76, so
-what is formed and verified are links and close misses.
+what is formed and verified are links and close misses. ``Rule.sketched`` = False goes without sketches.
 
 Defined cases: null, empty and blank texts have the empty set and are linked with nothing. A text of fewer
 than ``n`` words is one shingle. A null ``doc_id`` is returned with a null component and kept. An id
@@ -43,7 +44,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from nearword.llm import textbytes
+from nearword.llm import idfilter, textbytes
 from nearword.llm.components import components
 from nearword.llm.storage import Scratch
 
@@ -53,7 +54,7 @@ CHUNK = 1 << 15
 
 @dataclass(frozen=True)
 class Rule:
-    """Shingle length, threshold as a ratio of integers, and the banding; ``paired``: minima and maxima, else minima of twice as many permutations."""
+    """Shingle length, threshold as a ratio of integers, and the banding; ``paired``: minima and maxima, else minima of twice as many permutations; ``sketched``: whether pairs are left out by sketches before their texts are fetched."""
 
     n: int = 5
     over: int = 80
@@ -61,6 +62,7 @@ class Rule:
     bands: int = 40
     rows: int = 6
     paired: bool = True
+    sketched: bool = True
 
     @property
     def permutations(self) -> int:
@@ -74,6 +76,8 @@ class Rule:
 
 #: Values of the sketches for the last step, one bit each; others have two.
 FINE = 6144
+#: Members of a bucket that one task meets with a stray document.
+CHUNK_ROWS = 4096
 #: How many random members of its buckets' largest components a stray document is compared with.
 TRIES = 16
 
@@ -156,11 +160,14 @@ def longs_of(values: int, bits: int) -> int:
 def possible(rule: Rule, values: int, bits: int) -> Column:
     """Whether sizes (n, m) and sketches (s.., t..) of a pair leave it possible that it reaches the threshold."""
     few, many = F.least("n", "m"), F.greatest("n", "m")
+    sizes = few * rule.of >= many * rule.over
+    if not rule.sketched:
+        return sizes
     differ = F.lit(0)
     for i in range(longs_of(values, bits)):
         x = F.col(f"s{i}").bitwiseXOR(F.col(f"t{i}"))
         differ = differ + F.bit_count(x if bits == 1 else x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555)))
-    return (few * rule.of >= many * rule.over) & (differ <= rule.sketch_limit(values, bits))
+    return sizes & (differ <= rule.sketch_limit(values, bits))
 
 
 def detailed(texts: DataFrame, rule: Rule) -> DataFrame:
@@ -226,11 +233,21 @@ def confirmed(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
 
 
 def unsettled_members(members: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
-    """(bucket, band, rep, label, main, k) of the buckets with several components: main is the largest and k its size there."""
+    """(bucket, band, rep, label, main, k, chunks) of the buckets with several components: main is the largest and k its size there."""
     placed = members.select("bucket", "band", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "band", "rep", F.coalesce("label", "rep").alias("label"))
     counts = placed.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("k"))
-    mixed = counts.groupBy("bucket").agg(F.max(F.struct("k", "label")).alias("most"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
-    return scratch.cut(placed.join(mixed.select("bucket", F.col("most.label").alias("main"), F.col("most.k").alias("k")), "bucket"), "unsettled")
+    mixed = counts.groupBy("bucket").agg(F.max(F.struct("k", "label")).alias("most"), F.count(F.lit(1)).alias("labels"), F.sum("k").alias("all")).where("labels > 1")
+    chunks = F.ceil(F.col("all") / CHUNK_ROWS).cast("int").alias("chunks")
+    return scratch.cut(placed.join(mixed.select("bucket", F.col("most.label").alias("main"), F.col("most.k").alias("k"), chunks), "bucket"), "unsettled")
+
+
+def chunk() -> Column:
+    """Which of its bucket's chunks a member is in."""
+    return F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int").alias("chunk")
+
+
+def every_chunk() -> Column:
+    return F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk")
 
 
 def links(reps: DataFrame, docs: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame:
@@ -243,8 +260,9 @@ def links(reps: DataFrame, docs: DataFrame, rule: Rule, scratch: Scratch) -> Dat
     every = reps.select("rep", F.posexplode("bands").alias("band", "bucket"))
     shared = every.groupBy("bucket").agg(F.min(F.xxhash64("rep")).alias("pivot"), F.max(F.xxhash64("rep")).alias("__last")).where("pivot != __last").drop("__last")
     members = scratch.cut(every.join(shared, "bucket"), "members")  # buckets of two or more, each row with its pivot's hash
-    texts = docs.where("doc_id IS NOT NULL").select("doc_id", "text").join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    texts = scratch.cut(texts, "texts")
+    wanted = scratch.cut(members.select(F.col("rep").alias("doc_id")).distinct(), "wanted")
+    maybe, _ = idfilter.parted(docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id", wanted, "doc_id")
+    texts = scratch.cut(maybe.join(wanted, "doc_id", "left_semi"), "texts")
 
     def ordered(pairs: DataFrame) -> DataFrame:
         return pairs.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -261,8 +279,8 @@ def links(reps: DataFrame, docs: DataFrame, rule: Rule, scratch: Scratch) -> Dat
     star = ordered(members.select(F.col("rep").alias("b"), "pivot").distinct().join(pivots, "pivot").select("a", "b"))
     found = tried(star.join(left, "a").join(right, "b").where(possible(rule, values, 2)).select("a", "b").distinct())
     unsettled = unsettled_members(members, components(found, scratch), scratch)
-    partner = unsettled.where("label = main AND k > 1").groupBy("bucket").agg(F.min_by("rep", F.xxhash64("rep", "bucket")).alias("b"))
-    strays = unsettled.where("label != main AND k > 1").select("bucket", F.col("rep").alias("a")).join(partner, "bucket")
+    partner = unsettled.where("label = main AND k > 1").groupBy("bucket", "chunks").agg(F.min_by("rep", F.xxhash64("rep", "bucket")).alias("b")).select("bucket", "b", every_chunk())
+    strays = unsettled.where("label != main AND k > 1").select("bucket", F.col("rep").alias("a"), chunk()).join(partner, ["bucket", "chunk"])
     turn = F.row_number().over(Window.partitionBy("a").orderBy(F.xxhash64("bucket")))
     some = ordered(strays.withColumn("turn", turn).where(F.col("turn") <= TRIES).select("a", "b"))
     more = tried(some.join(left, "a").join(right, "b").where(possible(rule, values, 2)).select("a", "b").distinct())
@@ -272,10 +290,10 @@ def links(reps: DataFrame, docs: DataFrame, rule: Rule, scratch: Scratch) -> Dat
     left_over = texts.join(unsettled.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
     wide = unsettled.drop("k").join(scratch.cut(detailed(left_over, rule), "detailed"), "rep")
     own = {"rep": "a", "m": "n"} | {f"t{i}": f"s{i}" for i in range(longs_of(FINE, 1))} | {f"v{i}": f"u{i}" for i in range(-(-rule.bands // 2))}
-    one = wide.where("label != main").withColumnsRenamed(own)
-    two = wide.drop("band", "main").withColumnsRenamed({"rep": "b", "label": "other"})
+    one = wide.where("label != main").select("*", every_chunk()).drop("chunks").withColumnsRenamed(own)
+    two = wide.select("*", chunk()).drop("band", "main", "chunks").withColumnsRenamed({"rep": "b", "label": "other"})
     once = (F.col("label") != F.col("other")) & ((F.col("other") == F.col("main")) | (F.col("a") < F.col("b")))
-    rest = ordered(one.join(two, "bucket").where(once & possible(rule, FINE, 1) & first_shared(rule)).select("a", "b"))
+    rest = ordered(one.join(two, ["bucket", "chunk"]).where(once & possible(rule, FINE, 1) & first_shared(rule)).select("a", "b"))
     return found.union(tried(rest))
 
 
@@ -297,4 +315,5 @@ def kept_rows(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """The rows of ``docs`` that stay, one document of each component, with all their columns."""
     gone = near_duplicates(docs, rule).where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct()
     gone = Scratch(docs.sparkSession, "near-dup-gone").cut(gone, "gone")
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    maybe, stay = idfilter.parted(docs, "doc_id", gone, "__gone")  # few are looked up
+    return stay.unionByName(maybe.join(gone, maybe["doc_id"] == gone["__gone"], "left_anti"))
