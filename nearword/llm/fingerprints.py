@@ -1,13 +1,15 @@
-"""Document fingerprints by MinHash, and the pairs of documents that they bring together.
+"""Document fingerprints by MinHash, and the documents that they bring together.
 
 A fingerprint has one byte for each of 128 hash permutations: eight bits of a hash of the smallest value
 among the text's distinct shingles of five words. Two fingerprints' share of equal bytes, corrected for
-bytes that agree by chance, estimates the Jaccard similarity of the two sets.
-
-Defined cases: null, empty and blank texts have a fingerprint of zeros, alike among themselves. A text of
-fewer than five words is one shingle. Null ids come first in the order of documents; rows with one id are
-in order of their text's hash. The only document of a table is its own next. An empty table gives an empty
-result. Other columns are ignored.
+bytes that agree by chance, estimates the Jaccard similarity of the two sets. Bands of the smallest values
+are joined in Spark, and what meets is verified by the Jaccard similarity of the full sets, 0.8 or more:
+:func:`similar` has the components of these links.
+
+Defined cases: null, empty and blank texts have a fingerprint of zeros, alike among themselves, and are
+linked with nothing. A text of fewer than five words is one shingle. Null ids come first in the order of
+documents; rows with one id are in order of their text's hash. The only document of a table is its own next.
+An empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -17,17 +19,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearword.llm import near_dup, textbytes
+from nearword.llm import idfilter, near_dup, textbytes
 from nearword.llm.storage import Scratch
 
 SHINGLE = 5
 PERMUTATIONS = 128
-#: Similar documents meet in 32 bands of 4 values: at a similarity of 0.8 one pair in 2 * 10**7 doesn't.
-RULE = near_dup.Rule(n=SHINGLE, bands=32, rows=4, paired=False)
+#: Similar documents meet in 25 bands of 5 values: at a similarity of 0.8 one pair in 20,000 doesn't, above it fewer.
+RULE = near_dup.Rule(n=SHINGLE, bands=25, rows=5, paired=False)
+#: How texts are packed while they are dealt out, as lists of which most bytes would be text.
+LEVEL = 3
+PACKED = "doc_id long, place long, n_bytes long, packed binary"
 
 COMPARED = "doc_id long, n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
 
@@ -89,12 +95,55 @@ def _compare(names: list, texts: list[str], following: list[str], prints: np.nda
     ]
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """(doc_id, place, n_bytes, packed) of each document: hash of its text, length and Zstandard frame."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compressor = zstandard.ZstdCompressor(level=LEVEL)
+        for batch in batches:
+            for part in textbytes.slices(batch, "text"):
+                data, offsets = textbytes.string_buffers(part.column("text"))
+                view = memoryview(np.ascontiguousarray(data))
+                frames = [compressor.compress(view[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("place"), pa.array(np.diff(offsets)), pa.array(frames, pa.binary())], ["doc_id", "place", "n_bytes", "packed"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("place"), "text").mapInArrow(run, PACKED)
+
+
+def unpacked(batch: pa.RecordBatch, size: int = textbytes.SLICE_BYTES) -> Iterator[tuple[list, list[str]]]:
+    """(doc_ids, texts) of a batch of packed rows, in runs of about ``size`` bytes of text."""
+    reader = zstandard.ZstdDecompressor()
+    ends = np.concatenate([[0], np.cumsum(np.asarray(batch.column("n_bytes")))])
+    at = 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] + size, side="right")) - 1)
+        part = batch.slice(at, to - at)
+        yield part.column("doc_id").to_pylist(), [reader.decompress(x.as_buffer()).decode() if n else "" for x, n in zip(part.column("packed"), part.column("n_bytes").to_pylist(), strict=True)]
+        at = to
+    textbytes.release()
+
+
+def linked(docs: DataFrame) -> DataFrame:
+    """(doc_id, component_id) of the documents that verified links join with a smaller id; an id with several texts once, by its smallest component."""
+    return similar(docs).where("component_id < doc_id").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+
+
 def compared(docs: DataFrame) -> DataFrame:
-    """Each document's fingerprint against those of its edited text and of the next document in order of doc_id.
+    """Each document's fingerprint against those of its edited text and of the next document in order of doc_id, with component_id of :func:`similar`.
 
-    Documents are dealt out by ranges of doc_id, so that all but a range's last meet the next in their own
-    task. The first and the last document of each range, two rows a task, are matched in a second step.
+    Documents are dealt out by ranges of doc_id, their texts packed, so that all but a range's last meet the
+    next in their own task. The first and the last document of each range, two rows a task, are matched in a
+    second step. Components are looked up for documents alone that may have another's.
     """
+    scratch = Scratch(docs.sparkSession, "fingerprints")
+    joined = scratch.cut(linked(docs), "linked")
+    maybe, alone = idfilter.parted(_compared(docs, scratch), "doc_id", joined, "doc_id")
+    found = maybe.join(joined, "doc_id", "left").select(*maybe.columns, F.coalesce("component_id", "doc_id").alias("component_id"))
+    return alone.withColumn("component_id", F.col("doc_id")).unionByName(found)
+
+
+def _compared(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """:func:`compared` without component_id."""
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
     kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.float64(), pa.float64()]
     schema = pa.schema([*zip(names, kinds, strict=True), ("edge", pa.int32()), ("part", pa.int64()), ("text", pa.large_string())])
@@ -106,9 +155,7 @@ def compared(docs: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), *(pa.nulls(1, k) for k in kinds[1:]), pa.array([edge], pa.int32()), pa.array([part], pa.int64()), pa.array([text], pa.large_string())], schema=schema)
 
         for batch in batches:
-            for piece in textbytes.slices(batch, "text"):
-                ids = piece.column("doc_id").to_pylist()
-                texts = [t or "" for t in piece.column("text").to_pylist()]
+            for ids, texts in unpacked(batch):
                 prints = fingerprints(pa.array(texts, pa.large_string()))
                 if held is None:
                     yield mark(ids[0], texts[0], 1)
@@ -129,9 +176,9 @@ def compared(docs: DataFrame) -> DataFrame:
                 prints, others = (fingerprints(pa.array(x, pa.large_string())) for x in (texts, following))
                 yield pa.RecordBatch.from_arrays(_compare(piece.column("doc_id").to_pylist(), texts, following, prints, others), names)
 
-    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
-    ranged = docs.select("doc_id", "text").repartitionByRange(order[0]).sortWithinPartitions(*order)
-    out = Scratch(docs.sparkSession, "fingerprints").cut(ranged.mapInArrow(run, f"{COMPARED}, edge int, part long, text string"), "compared")
+    order = [F.col("doc_id").asc_nulls_first(), F.col("place")]
+    ranged = packed(docs).repartitionByRange(order[0]).sortWithinPartitions(*order)
+    out = scratch.cut(ranged.mapInArrow(run, f"{COMPARED}, edge int, part long, text string"), "compared")
     parts = sorted(r[0] for r in out.where("edge = 1").select("part").collect())  # as many as there are tasks
     shown = [F.lower(F.hex(n)).alias(n) if k == pa.binary() else F.col(n) for n, k in zip(names, kinds, strict=True)]
     if not parts:
