@@ -31,8 +31,6 @@ CAPACITY = 2048
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Rows that are numbered together: pieces of one length are dealt to so many times fewer groups.
 GROUP_ROWS = 50_000
-#: Rounds of the local search, each over all kinds of underfull bins.
-ROUNDS = 64
 
 #: A kind of bin: its lengths in descending order.
 Bin = tuple[int, ...]
@@ -112,16 +110,22 @@ def best_fit(counts: dict[int, int], capacity: int) -> Counter[Bin]:
     return +done
 
 
+def _two(bin: Bin) -> list[tuple[int, Bin]]:
+    """Pairs of a bin's pieces by their sum, one for each pair of lengths: a bin has few different ones, as they add up to its fill at most."""
+    counts = Counter(bin)
+    lengths = sorted(counts)
+    return sorted({(x + y, (x, y)) for i, x in enumerate(lengths) for y in lengths[i:] if x < y or counts[x] > 1})
+
+
 def _exchange(a: Bin, b: Bin, capacity: int) -> tuple[Bin, Bin] | None:
     """The exchange between a bin and one that is no fuller with which the first gets fullest; None if it gains nothing."""
     room = capacity - sum(a)
     best: tuple[int, Bin, Bin] | None = None
     give = [(0, ())] + [(x, (x,)) for x in sorted(set(a))]
-    pairs = sorted({(x + y, (x, y)) for i, x in enumerate(a) for y in a[i + 1 :]})
     take = [(x, (x,)) for x in sorted(set(b))]
-    two = sorted({(x + y, (x, y)) for i, x in enumerate(b) for y in b[i + 1 :]}) if len(b) < 60 else []
+    two = _two(b)
     sums = [s for s, _ in take]
-    for lost, out in give + (pairs if len(a) < 60 else []):  # moves, one for one, two for one
+    for lost, out in give + _two(a):  # moves, one for one, two for one
         k = bisect_left(sums, lost + room + 1) - 1
         if k >= 0 and sums[k] > lost and (best is None or sums[k] - lost > best[0]):
             best = (sums[k] - lost, out, take[k][1])
@@ -142,17 +146,15 @@ def _exchange(a: Bin, b: Bin, capacity: int) -> tuple[Bin, Bin] | None:
     return tuple(sorted(first, reverse=True)), tuple(sorted(second, reverse=True))
 
 
-def local_search(bins: Counter[Bin], capacity: int, rounds: int = ROUNDS) -> Counter[Bin]:
-    """Exchanges between underfull bins until no bin can be saved, none gains, or ``rounds`` are over.
+def local_search(bins: Counter[Bin], capacity: int) -> Counter[Bin]:
+    """Exchanges between underfull bins until no bin can be saved or none gains.
 
-    Each exchange makes the fuller bin of the two fuller, so the sum of squared fills rises.
+    Each exchange makes the fuller bin of the two fuller, so the sum of squared fills rises and the search ends.
     """
     bins = Counter(bins)
     total = sum(sum(k) * n for k, n in bins.items())
     least = -(-total // capacity)
-    for _ in range(rounds):
-        if sum(bins.values()) <= least:
-            break
+    while sum(bins.values()) > least:
         under = sorted((k for k in bins if sum(k) < capacity), key=lambda k: (-sum(k), k))
         gained = False
         for i, a in enumerate(under):
