@@ -38,7 +38,7 @@ ARCHIVE_BYTES = 64 << 20
 #: A dictionary's size, and how many bytes of an archive's first records it is trained on.
 DICTIONARY_BYTES, SAMPLE_BYTES = 32 << 10, 1 << 20
 LEVEL = 3
-#: A frame that says it holds more is refused.
+#: A record that has more is refused by the writer, a frame that says so by the reader.
 LARGEST_RECORD = 2 << 30
 SALTS = 16
 
@@ -127,6 +127,8 @@ class Writer:
         self._held = self.raw = self.n = 0
 
     def add(self, record: bytes) -> None:
+        if len(record) > LARGEST_RECORD:
+            raise WarcError(f"a record of {len(record)} bytes; {LARGEST_RECORD} at most can be read")
         self.raw += len(record)
         self.n += 1
         if self._waiting is None:
@@ -287,10 +289,12 @@ def assigned(pages: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
     """The pages with digest and refers_to: for equal payloads of at least ``least`` bytes, the largest page_id, except on that page."""
     html = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     own = pages.select("page_id", "url", html.alias("html")).withColumn("digest", F.sha1("html")).withColumn("n_bytes", F.octet_length("html"))
+    apart = F.concat(F.lit("-"), F.xxhash64("page_id", "url").cast("string"))  # payloads that are in no group are spread by their page
+    own = own.withColumn("key", F.when(F.col("n_bytes") >= least, F.col("digest")).otherwise(apart))
     groups = own.where(F.col("n_bytes") >= least).groupBy("digest").agg(F.max("page_id").alias("last"), F.count(F.lit(1)).alias("n")).where("n > 1 AND last IS NOT NULL")
-    salted = groups.select("digest", "last", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    joined = own.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(salted, ["digest", "salt"], "left")
-    refers = F.when((F.col("n_bytes") >= least) & ~F.col("page_id").eqNullSafe(F.col("last")), F.col("last"))
+    salted = groups.select(F.col("digest").alias("key"), "last", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    joined = own.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(salted, ["key", "salt"], "left")
+    refers = F.when(F.col("last").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("last")), F.col("last"))
     return joined.select("page_id", "url", "html", "digest", refers.alias("refers_to"))
 
 
