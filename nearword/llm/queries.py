@@ -44,7 +44,9 @@ def op3_min_max_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as one batch into a new digest index."""
     index = exact_dedup.DigestIndex(spark, Scratch(spark, "digest-index").path)
-    return exact_dedup.ingest(table(spark, sf_dir, "documents"), index, "documents").drop("new_group")
+    found = exact_dedup.ingest(table(spark, sf_dir, "documents"), index, "documents").drop("new_group")
+    index.close()
+    return found
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,7 +67,9 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a mixture of all documents takes of each."""
-    return mixing.decide(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    found = mixing.decide(table(spark, sf_dir, "documents"))
+    listed = [F.concat_ws(",", F.col(c).cast("array<string>")).alias(c) for c in ("draws", "orders")]
+    return found.select("doc_id", "size", "source_size", "target", "taken", *listed)
 
 
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

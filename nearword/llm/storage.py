@@ -1,7 +1,8 @@
 """Where operators keep what must outlive an executor.
 
 Everything written here goes to the folder that ``spark.checkpoint.dir`` names (a shared store on a
-cluster). When it is unset, as in tests, a folder of this process is made and set once.
+cluster). When it is unset, as in tests, a folder of this process is made and set once, for a local session
+only. Folders are removed when the process ends.
 """
 
 from __future__ import annotations
@@ -9,20 +10,12 @@ from __future__ import annotations
 import io
 import os
 import tempfile
-import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder's URI, without a slash at its end."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="nearword-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+from nearword.plans import scratch
 
 
 _shipped: set[str] = set()
@@ -55,7 +48,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        self.path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.path = scratch.scratch_path(spark, name)
         self._n = 0
 
     def child(self, name: str) -> str:

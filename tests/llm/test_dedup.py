@@ -7,7 +7,7 @@ import pytest
 from llm_brute import as_dict, shingles
 from pyspark.sql import functions as F
 
-from nearword.llm import components, exact_dedup, fingerprints, near_dup
+from nearword.llm import components, exact_dedup, fingerprints, idfilter, near_dup
 from nearword.llm.storage import Scratch
 
 
@@ -33,6 +33,10 @@ def test_exact_dedup(spark, edge_docs, no_docs):
     assert exact_dedup.ingest(no_docs, new_index(spark), "one").collect() == []
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_index_remembers_batches(spark):
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(["a b", "ab", "c", "d", None, " "])], "doc_id long, text string")
     index = new_index(spark)
@@ -40,10 +44,55 @@ def test_index_remembers_batches(spark):
     again = exact_dedup.ingest(docs, exact_dedup.DigestIndex(spark, index.path, 4), "two")  # opened anew
     assert {r["doc_id"] for r in again.where("kept").collect()} == {3, 5}
     assert {r["doc_id"] for r in again.where("NOT new_group").collect()} == {0, 1, 2}
+    index = exact_dedup.DigestIndex(spark, index.path, 4)
     assert {r["doc_id"] for r in exact_dedup.ingest(docs, index, "two").where("kept").collect()} == {3, 5}  # a retried batch
     assert index.table().count() == 4
-    plan = index.missing(exact_dedup.groups_of(exact_dedup.digests(docs)))._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
-    assert "SortMergeJoin LeftAnti" in plan and "Bucketed: true" in plan
+
+
+def test_index_after_many_batches(spark):
+    """Batch by batch it says what all at once would; its base is read without Exchange or Sort, and only the tail is sorted."""
+    r = random.Random(8)
+    rows = [(i, " ".join(r.choices("abc", k=r.randint(1, 6)))) for i in range(400)]
+    index, let_in = new_index(spark), set()
+    for batch in range(5):
+        part = rows[batch::5]
+        found = {x["doc_id"]: x["kept"] for x in exact_dedup.ingest(spark.createDataFrame(part, "doc_id long, text string"), index, str(batch)).collect()}
+        groups = {}
+        for i, t in part:
+            groups.setdefault(t.replace(" ", ""), []).append((-len(t), i))
+        assert {i for i, kept in found.items() if kept} == {min(g)[1] for t, g in groups.items() if t not in let_in}
+        let_in |= set(groups)
+    assert index.table().count() == len(let_in)
+    before = index.version
+    index.compact()
+    assert index.version == before + 1 and {bytes(x["digest"]).hex() for x in index.table().collect()} == {hashlib.sha256(t.encode()).hexdigest() for t in let_in}
+    groups = Scratch(spark, "g").cut(exact_dedup.groups_of(exact_dedup.digests(spark.createDataFrame(rows, "doc_id long, text string"))), "groups")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = plan_of(groups.select("digest").join(index.parts()[0].hint("merge"), "digest", "left_anti"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert "SortMergeJoin" in plan and plan.count("Exchange") == 1 and plan.count("Sort [") == 1, plan  # of the batch's side
+    reopened = exact_dedup.DigestIndex(spark, index.path, 4)
+    assert reopened.version == index.version and reopened.table().count() == len(let_in)
+    tables = spark.catalog.listTables()
+    index.close()
+    reopened.close()
+    assert len(spark.catalog.listTables()) < len(tables)
+    spark.createDataFrame([(1,)], "x int").write.parquet(f"{index.path}/base-{index.version + 1:06d}")  # a base that was never finished
+    assert exact_dedup.DigestIndex(spark, index.path, 4).version == index.version
+
+
+def test_hot_groups(spark):
+    """Groups of more rows than others are joined apart and have the same answers."""
+    rows = [(i, "hot  text" if i % 3 else f"t{i // 6}") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    before, exact_dedup.HOT_GROUPS = exact_dedup.HOT_GROUPS, 16
+    try:
+        found = exact_dedup.ingest(docs, new_index(spark), "one").drop("new_group")
+        assert Counter(tuple(r) for r in found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256").collect()) == exact_expected(docs.collect())
+    finally:
+        exact_dedup.HOT_GROUPS = before
 
 
 def test_exact_rows(spark, edge_docs):
@@ -100,6 +149,39 @@ def test_family_of_near_copies(spark):
     assert {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in near_dup.near_duplicates(docs, near_dup.Rule(n=2)).collect()} == expected
     kept = near_dup.kept_rows(docs, near_dup.Rule(n=2))
     assert {x["doc_id"] for x in kept.collect()} == {c for _, c in expected.values()}
+    before, near_dup.CHUNK_ROWS = near_dup.CHUNK_ROWS, 8
+    try:  # large buckets in many chunks, without sketches
+        found = near_dup.near_duplicates(docs, near_dup.Rule(n=2, sketched=False)).collect()
+        assert {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in found} == expected
+    finally:
+        near_dup.CHUNK_ROWS = before
+
+
+def test_bands_recall(spark):
+    """Pairs about the threshold, against brute force: no false link, and all but few that are there."""
+    r = random.Random(12)
+    rows = []
+    for i in range(300):
+        base = [f"v{r.randrange(5000)}" for _ in range(r.randint(30, 120))]
+        rows.append((2 * i, " ".join(base)))
+        other = list(base)
+        for _ in range(r.randint(1, 4)):
+            other[r.randrange(len(other))] = "new"
+        rows.append((2 * i + 1, " ".join(other)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = {i: shingles(t, 5) for i, t in rows}
+    true = {2 * i + 1 for i in range(300) if 100 * len(sets[2 * i] & sets[2 * i + 1]) >= 80 * len(sets[2 * i] | sets[2 * i + 1])}
+    found = {x["doc_id"]: x["component_id"] for x in fingerprints.linked(docs).collect()}
+    assert all(c == i - 1 and i in true for i, c in found.items()) and 40 < len(true) < 290
+    assert len(found) >= 0.9 * len(true)
+
+
+def test_id_filter(spark):
+    ids = spark.createDataFrame([(i,) for i in range(0, 3000, 3)] + [(None,)], "x long")
+    rows = spark.createDataFrame([(i, "t") for i in range(3000)] + [(None, "n")], "doc_id int, __other string")
+    maybe, rest = (x.collect() for x in idfilter.parted(rows, "doc_id", ids, "x"))
+    assert len(maybe) + len(rest) == 3001 and {r["doc_id"] for r in maybe} >= {*range(0, 3000, 3), None} and len(maybe) < 1100
+    assert idfilter.parted(rows, "doc_id", ids.limit(0), "x")[0].count() == 0
 
 
 def test_components(spark):
@@ -138,6 +220,8 @@ def test_fingerprints(spark, edge_docs, no_docs):
             true = len(a & b) / len(a | b) if a or b else 1.0
             assert abs(value - true) < 0.2
     assert Counter((x["doc_id"], x["n_chars"], x["edited_sha256"]) for x in found) == Counter(expected)
+    linked = components_of(rows, 5)
+    assert all(x["component_id"] == (None if x["doc_id"] is None else linked[x["doc_id"]][1]) for x in found)
     prints = {}
     for x in fingerprints.fingerprinted(edge_docs).join(edge_docs.select("doc_id", "text").distinct(), "doc_id").collect():
         prints.setdefault(x["text"], set()).add(x["fingerprint"])

@@ -73,6 +73,22 @@ def test_stages(spark):
     assert Counter(rows) == Counter((r["doc_id"], r["piece"], r["length"], r["ids_crc32"]) for r in packed)
 
 
+def test_stages_on_edges(spark, edge_docs, no_docs):
+    """The stages in a chain over nulls, long texts, repeated rows and clashing columns, and over no rows at all."""
+    columns = edge_docs.columns
+    for docs in (edge_docs, no_docs):
+        for name, stage in corpus_pipeline.STAGES:
+            docs = stage(spark, docs, SF).persist()
+            rows = docs.collect()
+            assert name == "packing" or docs.columns == columns
+            if name == "exact dedup":
+                normal = [re.sub(r"[\x20\x09-\x0D]", "", r["text"] or "") for r in rows]
+                assert len(normal) == len(set(normal))
+            if name == "near dedup" and rows:
+                assert sum((r["text"] or "").split() == (edge_docs.first()["text"] or "").split() for r in rows) == 1
+        assert all(r["length"] > 0 for r in rows)
+
+
 def test_entry_without_the_subpackage(tmp_path):
     """The rest imports and has its queries when these folders and the pipeline are gone."""
     shutil.copytree(ROOT / "nearword", tmp_path / "nearword", ignore=shutil.ignore_patterns("llm", "__pycache__"))

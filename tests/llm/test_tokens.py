@@ -136,3 +136,15 @@ def test_local_search_saves_bins():
     many = Counter(rng.integers(500, 1100, 3000).tolist())
     before = packing.best_fit(many, 2048)
     assert sum(packing.local_search(before, 2048).values()) < sum(before.values())
+
+
+def test_exchanges_between_bins_of_many_pieces():
+    """Two of a bin's pieces go for one of another's in bins of any number of pieces."""
+    assert packing._two((5, 3, 3, 1)) == [(4, (1, 3)), (6, (1, 5)), (6, (3, 3)), (8, (3, 5))]
+    small = (2,) * 90 + (1,) * 10  # 190 of 200
+    made = packing._exchange(small, (13,), 200)
+    assert made is not None and sorted(made[0] + made[1]) == sorted(small + (13,)) and sum(made[0]) == 200
+    counts = Counter({1: 500, 2: 700, 3: 90, 17: 60, 101: 30, 99: 41, 64: 33})
+    bins = packing.plan(counts, 128)
+    assert sum(bins.values()) <= -(-sum(n * x for x, n in counts.items()) // 128) + 8
+    assert sum(packing.local_search(packing.best_fit(counts, 128), 128).values()) <= sum(packing.best_fit(counts, 128).values())

@@ -114,3 +114,14 @@ def test_bad_archive_names_itself(spark):
     out.close()
     with pytest.raises(Exception, match="bad.warc.zst"):
         warc.read(spark.createDataFrame([(uri,)], "file string")).collect()
+
+
+def test_writer_refuses_what_the_reader_would(spark, monkeypatch):
+    from nearword.llm.storage import Scratch
+
+    monkeypatch.setattr(warc, "LARGEST_RECORD", 5000)
+    writer = warc.Writer(Scratch(spark, "large").child("x.warc.zst"), "2024-01-01T00:00:00Z")
+    writer.add(b"x" * 5000)
+    with pytest.raises(warc.WarcError, match="5001"):
+        writer.add(b"x" * 5001)
+    writer.close()
