@@ -2,6 +2,13 @@
 
 Every stage is written as Parquet and read again by the next, and all but the last return the columns of
 ``documents``. What a stage leaves out stays out.
+
+Defined cases, in the order of the stages: a null or empty text has a weight of 0 in the quality draw, is
+one text with all of no other characters than white space, of which one row stays, is near nothing, has no
+words in the mixture, which may leave it out, and is packed as the end id alone. A null doc_id is an id of
+its own to exact dedup, near dedup keeps it, and it is mixed and packed like others. Rows that repeat an id
+and a text become one. Columns beside those of ``documents`` are carried along, whatever their names. An
+empty table passes every stage as one.
 """
 
 from __future__ import annotations
@@ -22,7 +29,10 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group with equal text stays, by a new digest index."""
-    return exact_dedup.kept_rows(docs, exact_dedup.DigestIndex(spark, Scratch(spark, "digest-index").path), "pipeline")
+    index = exact_dedup.DigestIndex(spark, Scratch(spark, "digest-index").path)
+    kept = exact_dedup.kept_rows(docs, index, "pipeline")
+    index.close()
+    return kept
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,8 +41,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mixture of the sources at their target weights: rows as often as they are taken."""
-    return mixing.mix(docs, place=False)
+    """The mixture of the sources at their target weights: rows as often as they are taken, in the order of its shards."""
+    return mixing.in_order(mixing.mix(docs)).select(docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
