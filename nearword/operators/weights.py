@@ -43,15 +43,22 @@ def _counted(rows: DataFrame) -> DataFrame:
     return counted.select(*own, "terms", F.sqrt(F.aggregate("terms", F.lit(0.0), added)).alias("norm"))
 
 
+def repeated_ids(features: DataFrame) -> DataFrame:
+    """(__id) of several rows, written; found by the ids alone."""
+    return cut(features.groupBy("id").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select(F.col("id").alias("__id")), "repeated-ids")
+
+
 def weighed(features: DataFrame) -> DataFrame:
     """(id, lat, lon, term, tf, norm) of every feature's terms; without lat and lon where features have none."""
     place = [c for c in ("lat", "lon") if c in features.columns]
     rows = features.select("id", *place, "text")
 
     def exploded(some: DataFrame) -> DataFrame:
-        return _counted(some).select("id", *place, "norm", F.explode("terms").alias("x")).select("id", *place, "x.term", "x.tf", "norm")
+        # outer, as explode would have its filter of empty arrays pushed into the projections and count each text many times
+        each = _counted(some).select("id", *place, "norm", F.explode_outer("terms").alias("x")).where("x IS NOT NULL")
+        return each.select("id", *place, "x.term", "x.tf", "norm")
 
-    again = cut(features.groupBy("id").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select(F.col("id").alias("__id")), "repeated-ids")
+    again = repeated_ids(features)
     if again.isEmpty():
         return exploded(rows)
     same = rows["id"].eqNullSafe(again["__id"])

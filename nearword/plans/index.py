@@ -86,9 +86,8 @@ def build(features: DataFrame, kind: str = "s2i", block_size: int = BLOCK_SIZE,
         raise ValueError(f"unknown kind of index: {kind!r}")
     if most is not None:
         features = features.orderBy("id").limit(most)
-    if unique:
-        again = F.count(F.lit(1)).over(Window.partitionBy("id"))
-        features = features.withColumn("__again", again).withColumn("id", F.when(F.col("__again") > 1, F.raise_error(F.concat(F.lit("repeated id: "), F.col("id").cast("string"))).cast("int")).otherwise(F.col("id"))).drop("__again")
+    if unique and (again := weights.repeated_ids(features).first()):
+        raise ValueError(f"repeated id: {again[0]}")
     postings = weights.postings(features)
     term_info = numbered_terms(weights.document_frequency(postings)).select("term", "term_id", "df", hot(F.col("df"), block_size, kind).alias("hot"))
     return Index(postings, term_info, weights.dataset_size(features), weights.doc_length(features), kind, block_size)
@@ -216,7 +215,12 @@ def build_stats(features: DataFrame) -> DataFrame:
     words = F.coalesce(F.size("t"), F.lit(0))
     words = F.when(words > 0, words).otherwise(0)
     totals = own.select(words.alias("w"), F.when(words > 0, F.size(F.array_distinct("t"))).alias("d"), F.when(words > 0, F.length("text")).alias("c")).agg(
-        F.count(F.lit(1)).alias("n_features"), F.sum(F.col("w").cast("long")).alias("total_words"), F.count("d").alias("dataset_lines"), F.sum(F.col("d").cast("long")).alias("n_postings"), F.avg(F.col("d").cast("double")).alias("avg_distinct_terms"), F.avg(F.col("c").cast("double")).alias("avg_line_length")
+        F.count(F.lit(1)).alias("n_features"),
+        F.sum(F.col("w").cast("long")).alias("total_words"),
+        F.count("d").alias("dataset_lines"),
+        F.sum(F.col("d").cast("long")).alias("n_postings"),
+        F.avg(F.col("d").cast("double")).alias("avg_distinct_terms"),
+        F.avg(F.col("c").cast("double")).alias("avg_line_length"),
     )
     terms = features.select(F.explode(formulas.tokens(F.col("text"))).alias("term")).agg(F.count_distinct("term").alias("n_terms"))
     return totals.withColumn("n_terms", terms.scalar()).withColumn("list_bytes", F.col("n_postings") * POSTING_BYTES["s2i"])

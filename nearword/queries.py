@@ -94,7 +94,8 @@ def rect_min_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def build_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index.build_stats(features(spark, sf_dir)).select("n_features", "total_words", "dataset_lines", "n_postings", "n_terms", "list_bytes", F.round("avg_distinct_terms", 6).alias("avg_distinct_terms"), F.round("avg_line_length", 6).alias("avg_line_length"))
+    means = [F.round(c, 6).alias(c) for c in ("avg_distinct_terms", "avg_line_length")]
+    return index.build_stats(features(spark, sf_dir)).select("n_features", "total_words", "dataset_lines", "n_postings", "n_terms", "list_bytes", *means)
 
 
 def hot_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -158,7 +159,13 @@ def line_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How lines of a text file in several parts are numbered."""
     path = scratch_path(spark, "lines")
     objects(spark, sf_dir).select(F.col("id").cast("string").alias("value")).repartition(5, "value").write.text(path)
-    return text.numbered_lines(spark, path).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("line_no").alias("n_numbers"), F.min("line_no").alias("least"), F.max("line_no").alias("most"), F.sum(F.col("line").cast("long")).alias("total"))
+    return text.numbered_lines(spark, path).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_distinct("line_no").alias("n_numbers"),
+        F.min("line_no").alias("least"),
+        F.max("line_no").alias("most"),
+        F.sum(F.col("line").cast("long")).alias("total"),
+    )
 
 
 SMALL_BLOCK = 1024
@@ -251,7 +258,7 @@ query.type = {kind}
 query.keywords = [Small, ring, qqqq]
 query.numKeywords = 2
 query.numMostFrequentTerms = 6
-query.numQueries = 3
+query.numQueries = 2
 query.numWarmUpQueries = 1
 query.numResults = 20
 query.neighborhood = {rules}
@@ -260,12 +267,15 @@ query.alpha = 0.3
 """
 
 
-def _configured(spark: SparkSession, sf_dir: str, names: str, rules: str = "1", kind: str = "custom") -> list[experiment.Outcome]:
-    """The outcomes of a configuration that is read from a file, over feature and object files."""
-    folder, path = scratch_path(spark, "experiment"), scratch_path(spark, "configuration")
-    config = CONFIG.format(names=names, folder=folder, rounds=1, features=_feature_file(spark, sf_dir), objects=_object_file(spark, sf_dir), kind=kind, rules=rules)
-    spark.createDataFrame([(config,)], "value string").coalesce(1).write.text(path)
-    return experiment.run_all(spark, path, shared=True)
+def _configured(spark: SparkSession, sf_dir: str, build: str, search: str, rules: str = "1", kind: str = "custom") -> list[experiment.Outcome]:
+    """The outcomes of a build and of searches whose configurations are read from files, over feature and object files."""
+    fixed = {"folder": scratch_path(spark, "experiment"), "features": _feature_file(spark, sf_dir), "objects": _object_file(spark, sf_dir), "kind": kind, "rounds": 1}
+    found = []
+    for names, swept in ((build, "1"), (search, rules)):
+        path = scratch_path(spark, "configuration")
+        spark.createDataFrame([(CONFIG.format(names=names, rules=swept, **fixed),)], "value string").coalesce(1).write.text(path)
+        found += experiment.run_all(spark, path, shared=True)
+    return found
 
 
 def _all_rows(found: list[experiment.Outcome]) -> DataFrame:
@@ -276,21 +286,21 @@ def _all_rows(found: list[experiment.Outcome]) -> DataFrame:
 
 def config_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A build and preference searches by every rule."""
-    return _all_rows(_configured(spark, sf_dir, "S2IBuildIndex;PreferenceSearch", "1;0;2"))
+    return _all_rows(_configured(spark, sf_dir, "S2IBuildIndex", "PreferenceSearch", "1;0;2"))
 
 
 def config_if_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _all_rows(_configured(spark, sf_dir, "IFBuildIndex;IFSearch"))
+    return _all_rows(_configured(spark, sf_dir, "IFBuildIndex", "IFSearch"))
 
 
 def config_blended(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Searches that blend distance and text, at drawn points."""
-    return _all_rows(_configured(spark, sf_dir, "S2IBuildIndex;S2ISearch")).drop("rule")
+    return _all_rows(_configured(spark, sf_dir, "S2IBuildIndex", "S2ISearch")).drop("rule")
 
 
 def config_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each query of a workload of frequent terms asked and read."""
-    found = [o for o in _configured(spark, sf_dir, "S2IBuildIndex;S2ISearch", kind="mostFrequent") if o.postings]
+    found = [o for o in _configured(spark, sf_dir, "S2IBuildIndex", "S2ISearch", kind="mostFrequent") if o.postings]
     asked = [sorted({r[0]: r[1] for r in o.rows.select("query_no", "keywords").distinct().collect()}.items()) for o in found]  # a row per query
     rows = [(no, " ".join(sorted(words.split())), n) for o, own in zip(found, asked, strict=True) for (no, words), n in zip(own, o.postings, strict=True)]
     return spark.createDataFrame(rows, "query_no int, keywords string, n_postings long")
@@ -460,7 +470,12 @@ ORACLE_SQL: dict[str, str] = {
     "skpq_unknown_keyword": _preference(_DECAYED, _weights("qqqq", "zzzz")),
     "objects_in_rectangle": f"WITH {_OBJECTS} SELECT id, lat, lon FROM obj WHERE {_INSIDE}",
     "distance_join": f"WITH {_FEATURES}, {_OBJECTS} SELECT obj.id AS object_id, feat.id AS feature_id, round({_PAIR}, 9) AS distance FROM obj CROSS JOIN feat WHERE {_PAIR} <= {RADIUS}",
-    "nearest_with_ties": f"WITH {_FEATURES}, {_OBJECTS}, r AS (SELECT obj.id AS object_id, feat.id AS feature_id, {_PAIR} AS distance, rank() OVER (PARTITION BY obj.id ORDER BY {_PAIR}) AS k FROM obj CROSS JOIN feat) SELECT object_id, feature_id, round(distance, 9) AS distance FROM r WHERE k = 1",
+    "nearest_with_ties": f"""
+WITH {_FEATURES}, {_OBJECTS}, r AS (
+    SELECT obj.id AS object_id, feat.id AS feature_id, {_PAIR} AS distance, rank() OVER (PARTITION BY obj.id ORDER BY {_PAIR}) AS k
+    FROM obj CROSS JOIN feat
+)
+SELECT object_id, feature_id, round(distance, 9) AS distance FROM r WHERE k = 1""",
     "rect_min_distance": f"""
 WITH {_OBJECTS}, g AS (
     SELECT id, greatest({RECT[0]}e0 - lat, lat - {RECT[2]}e0, 0.0e0) AS a, greatest({RECT[1]}e0 - lon, lon - {RECT[3]}e0, 0.0e0) AS b,
@@ -501,12 +516,13 @@ _CONFIG_SEED = properties.Config(features="features").seed  # of the feature fil
 
 
 def _configured_sql(rules: dict[str, str]) -> str:
-    """Preference searches of three queries of the same keywords, by rule."""
-    one = " UNION ALL ".join(f"SELECT '{rule}' AS rule, * FROM (SELECT id, lat, lon, round(coalesce(score, 0.0e0), 9) AS score FROM obj LEFT JOIN ({sql}) USING (id) ORDER BY score DESC, id DESC LIMIT 20)" for rule, sql in rules.items())
+    """Preference searches of two queries of the same keywords, by rule."""
+    ranked = "SELECT id, lat, lon, round(coalesce(score, 0.0e0), 9) AS score FROM obj LEFT JOIN ({}) USING (id) ORDER BY score DESC, id DESC LIMIT 20"
+    one = " UNION ALL ".join(f"SELECT '{rule}' AS rule, * FROM ({ranked.format(sql)})" for rule, sql in rules.items())
     return f"""
 WITH {_SHORT}, {_LINES}, {_POSTINGS}, {_ASKED},
 pairs AS (SELECT obj.id, theta.theta, {_DISTANCE} AS distance FROM obj CROSS JOIN theta), found AS ({one})
-SELECT q::INTEGER AS query_no, 'small ring qqqq' AS keywords, id, lat, lon, score, rule FROM found, range(3) t(q)"""
+SELECT q::INTEGER AS query_no, 'small ring qqqq' AS keywords, id, lat, lon, score, rule FROM found, range(2) t(q)"""
 
 
 def _drawn_points(n: int, warm: int, seed: int) -> str:
@@ -535,13 +551,13 @@ ORACLE_SQL |= {
     "config_preference": _configured_sql({"range": _IN_RANGE, "nn": _NEAREST, "influence": _DECAYED}),
     "config_if_search": _configured_sql({"range": _IN_RANGE}),
     "config_blended": f"""
-WITH {_SHORT}, {_POSTINGS}, {_ASKED}, q(query_no, lat, lon) AS (VALUES {_drawn_points(3, 1, _CONFIG_SEED)}),
+WITH {_SHORT}, {_POSTINGS}, {_ASKED}, q(query_no, lat, lon) AS (VALUES {_drawn_points(2, 1, _CONFIG_SEED)}),
 scored AS (SELECT query_no, id, theta.lat, theta.lon, round(0.3e0 * (1 - {_FROM_QUERY} / sqrt(2.0e0)) + theta, 9) AS score, round({_FROM_QUERY}, 9) AS distance FROM theta, q)
 SELECT query_no::INTEGER AS query_no, 'small ring qqqq' AS keywords, id::INTEGER AS id, lat, lon, score, distance
 FROM scored QUALIFY row_number() OVER (PARTITION BY query_no ORDER BY score DESC, id DESC) <= 20""",
     "config_statistics": f"""
 WITH {_SHORT}, {_POSTINGS}, top AS (SELECT term, df FROM info ORDER BY df DESC, term LIMIT 6),
-drawn AS ({" UNION ALL ".join(f"(SELECT {i} AS query_no, term, df FROM top ORDER BY {_uniform(_CONFIG_SEED + i + 1, 'term')}, term LIMIT 2)" for i in range(3))})
+drawn AS ({" UNION ALL ".join(f"(SELECT {i} AS query_no, term, df FROM top ORDER BY {_uniform(_CONFIG_SEED + i + 1, 'term')}, term LIMIT 2)" for i in range(2))})
 SELECT query_no::INTEGER AS query_no, string_agg(term, ' ' ORDER BY term) AS keywords, sum(df)::BIGINT AS n_postings FROM drawn GROUP BY query_no""",
     "config_sweep": "SELECT * FROM (VALUES "
     + ", ".join(
