@@ -152,7 +152,8 @@ def _compared(docs: DataFrame, scratch: Scratch) -> DataFrame:
         part, held = TaskContext.get().partitionId(), None
 
         def mark(name, text: str, edge: int) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), *(pa.nulls(1, k) for k in kinds[1:]), pa.array([edge], pa.int32()), pa.array([part], pa.int64()), pa.array([text], pa.large_string())], schema=schema)
+            ends = [pa.array([edge], pa.int32()), pa.array([part], pa.int64()), pa.array([text], pa.large_string())]
+            return pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), *(pa.nulls(1, k) for k in kinds[1:]), *ends], schema=schema)
 
         for batch in batches:
             for ids, texts in unpacked(batch):

@@ -54,7 +54,11 @@ CHUNK = 1 << 15
 
 @dataclass(frozen=True)
 class Rule:
-    """Shingle length, threshold as a ratio of integers, and the banding; ``paired``: minima and maxima, else minima of twice as many permutations; ``sketched``: whether pairs are left out by sketches before their texts are fetched."""
+    """Shingle length, threshold as a ratio of integers, and the banding.
+
+    ``paired``: minima and maxima, else minima of twice as many permutations. ``sketched``: whether pairs are
+    left out by sketches before their texts are fetched.
+    """
 
     n: int = 5
     over: int = 80

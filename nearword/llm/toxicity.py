@@ -348,6 +348,7 @@ def scored(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(),
         for batch in batches:
             for part in textbytes.slices(batch, "text"):
                 score = scores(part.column("text"), model)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), part.column("held_out"), pa.array(score), pa.array((score >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
+                columns = [part.column("doc_id").cast(pa.int64()), part.column("held_out"), pa.array(score), pa.array((score >= threshold).astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "score", "predicted"])
 
     return docs.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")

@@ -123,7 +123,8 @@ class Writer:
 
     def __init__(self, uri: str, date: str):
         self.uri, self._out = uri, open_output(uri)
-        self._waiting: list[bytes] | None = [record_bytes([("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid4()}>"), ("WARC-Date", date), ("Content-Type", "application/warc-fields")], b"format: WARC File Format 1.1\r\n")]
+        headers = [("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid4()}>"), ("WARC-Date", date), ("Content-Type", "application/warc-fields")]
+        self._waiting: list[bytes] | None = [record_bytes(headers, b"format: WARC File Format 1.1\r\n")]
         self._held = self.raw = self.n = 0
 
     def add(self, record: bytes) -> None:

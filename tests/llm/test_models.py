@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from nearword.llm import quality, toxicity
+from nearword.llm import labelled, quality, toxicity
 from nearword.llm.storage import Scratch
 
 SF = "/root/testdata/sf0.01"
@@ -179,6 +179,21 @@ def test_one_long_labelled_text_leaves_the_sample(spark):
     assert quality.labelled_share(docs, labels.where("quality = 1")) is None
 
 
+def test_places_go_to_the_smallest_hashes(spark):
+    """With many more rows than places, and with fewer ids than places, as sorting all would say."""
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame([(i, f"t{i}") for i in range(3000)] + [(5, "other"), (5, "third"), (None, "n"), (7, None)], "doc_id long, text string")
+    known = spark.createDataFrame([(i, int(i >= 2990)) for i in range(3000)] + [(9000, 1)], "doc_id long, toxic int")
+    order = {r[0]: r[1] for r in spark.range(3000).select("id", F.shiftrightunsigned(F.xxhash64("id", F.lit(5)), 1)).collect()}
+    for most in (20, 5000):
+        found = labelled.chosen(docs, known, "toxic", most, 5)
+        zeros = [r["doc_id"] for r in found if r["toxic"] == 0]
+        expected = sorted(range(2990), key=lambda i: (order[i], i))
+        assert zeros[: min(most, 2990)] == expected[:most] and len(zeros) == min(most, 2992)
+        assert [r["doc_id"] for r in found if r["toxic"] == 1] == sorted(range(2990, 3000), key=lambda i: order[i])
+
+
 def test_fitting_texts():
     both = np.array([0, 1, 0, 1, 0, 1])
     place = np.array([1, 1, 2, 2, 3, 3])
