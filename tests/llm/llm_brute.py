@@ -2,8 +2,6 @@
 
 import re
 
-from pyspark.sql import Row
-
 
 def words(text):
     """Words of the contract: runs outside [\\x20\\x09-\\x0D], A-Z in lower case."""
@@ -13,7 +11,3 @@ def words(text):
 def shingles(text, n):
     w = words(text)
     return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else ({tuple(w)} if w else set())
-
-
-def as_dict(rows: list[Row], key: str = "doc_id") -> dict:
-    return {r[key]: r for r in rows}

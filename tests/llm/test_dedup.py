@@ -4,7 +4,7 @@ import re
 from collections import Counter
 
 import pytest
-from llm_brute import as_dict, shingles
+from llm_brute import shingles
 from pyspark.sql import functions as F
 
 from nearword.llm import components, exact_dedup, fingerprints, idfilter, near_dup
@@ -121,7 +121,7 @@ def components_of(rows, n):
     return {i: (len(sets[i]), find(i)) for i in ids}
 
 
-@pytest.mark.parametrize("rule", [near_dup.Rule(n=2), near_dup.Rule(n=5), fingerprints.RULE])
+@pytest.mark.parametrize("rule", [near_dup.Rule(n=2), fingerprints.RULE])
 def test_near_dup_equals_all_pairs(spark, edge_docs, no_docs, rule):
     found = near_dup.near_duplicates(edge_docs, rule).collect()
     assert len(found) == edge_docs.count()
@@ -147,12 +147,10 @@ def test_family_of_near_copies(spark):
     expected = components_of(docs.collect(), 2)
     assert 1 < len({c for _, c in expected.values()}) < 199
     assert {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in near_dup.near_duplicates(docs, near_dup.Rule(n=2)).collect()} == expected
-    kept = near_dup.kept_rows(docs, near_dup.Rule(n=2))
-    assert {x["doc_id"] for x in kept.collect()} == {c for _, c in expected.values()}
     before, near_dup.CHUNK_ROWS = near_dup.CHUNK_ROWS, 8
     try:  # large buckets in many chunks, without sketches
-        found = near_dup.near_duplicates(docs, near_dup.Rule(n=2, sketched=False)).collect()
-        assert {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in found} == expected
+        kept = near_dup.kept_rows(docs, near_dup.Rule(n=2, sketched=False))
+        assert {x["doc_id"] for x in kept.collect()} == {c for _, c in expected.values()}
     finally:
         near_dup.CHUNK_ROWS = before
 
@@ -229,7 +227,6 @@ def test_fingerprints(spark, edge_docs, no_docs):
     assert fingerprints.compared(no_docs).collect() == []
     alone = fingerprints.compared(edge_docs.where("doc_id = 0")).collect()
     assert len(alone) == 1 and alone[0]["near_next"] == 1.0
-    assert as_dict(fingerprints.similar(edge_docs).collect())[1]["component_id"] == 0
 
 
 def test_every_text_of_a_repeated_id_finds_its_copies(spark):
