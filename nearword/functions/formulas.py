@@ -60,6 +60,15 @@ def distance(lat: Column, lon: Column, lat2: Column, lon2: Column) -> Column:
     return F.sqrt(dx * dx + dy * dy)
 
 
+def rounded(x: Column, places: int) -> Column:
+    """A double of 0 or more, below 2**63 once scaled, rounded half up by scaling, as DuckDB does.
+
+    F.round takes each value through a decimal's text, which costs twice what joining its row does.
+    """
+    scale = F.lit(10.0**places)
+    return F.floor(x * scale + 0.5) / scale
+
+
 def axis_gap(lo: Column, hi: Column, lo2: Column, hi2: Column) -> Column:
     """How far two closed intervals are apart, 0 if they meet."""
     return F.greatest(lo2 - hi, lo - hi2, F.lit(0.0))

@@ -1,11 +1,11 @@
 """Joins of objects of interest with scored features by place.
 
-:func:`distance_join` gives pairs. :func:`best_neighbour` gives each object the best score in its
-neighbourhood without forming all pairs: features are summed up in a quadtree of cells (bounding box,
-largest score), and objects descend it a few cells at a time, dropping cells that cannot hold their answer,
-also those that could only equal what another is sure to hold. The tree is as deep as its fullest cell needs.
-So rows stay in proportion to the objects, however dense or skewed the features are, and however many of
-them have the same score.
+:func:`distance_join` gives pairs, where they are many in blocks of bounded size. :func:`best_neighbour`
+gives each object the best score in its neighbourhood without forming all pairs: features are summed up in a
+quadtree of cells (bounding box, largest score), and objects descend it a few cells at a time, dropping cells
+that cannot hold their answer, also those that could only equal what another is sure to hold. The tree is as
+deep as its fullest cell needs. So rows stay in proportion to the objects, however dense or skewed the
+features are, and however many of them have the same score.
 
 Objects are rows (id, lat, lon), features rows (id, lat, lon, theta). Rows with a null place are in no
 neighbourhood. Repeated features weigh once, repeated objects are answered row by row as one id.
@@ -13,6 +13,8 @@ neighbourhood. Repeated features weigh once, repeated objects are answered row b
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -28,13 +30,19 @@ STEP = 2
 #: Levels with 4**8 = 65,536 cells at most are broadcast, so no cell near the root is a key that all objects share.
 BROADCAST_LEVEL = 8
 _SLACK = 1 + 1e-12
+#: A distance join of more pairs of neighbouring cells than MANY_PAIRS is done in blocks of about BLOCK objects by BLOCK features.
+MANY_PAIRS, BLOCK, MOST_TASKS = 1 << 28, 4096, 10_000
+#: So many cells of more than a block are broadcast at most.
+BROADCAST_CELLS = 131_072
 
 
 def distance_join(objects: DataFrame, features: DataFrame, radius: float) -> DataFrame:
     """(object_id, feature_id, distance) of the pairs within ``radius``, boundary included.
 
     Cells slightly wider than the radius: a pair's cells are neighbours, so features go to nine cells, objects
-    to one, and an equi-join on the cell with the exact condition gives every pair once.
+    to one, and an equi-join on the cell with the exact condition gives every pair once. The work is in the
+    pairs, not in the bytes that Spark deals tasks by, so where they are many, full cells are cut into blocks
+    and the tasks are as many as the pairs need.
     """
     if radius < 0:
         raise ValueError("a negative radius")
@@ -47,9 +55,31 @@ def distance_join(objects: DataFrame, features: DataFrame, radius: float) -> Dat
     side = radius * (1 + 1e-9)
     cell = lambda c: F.floor(F.col(c) / side)
     near = F.array(*[F.lit(i) for i in (-1, 0, 1)])
+    nine = lambda df: df.withColumn("dx", F.explode(near)).withColumn("dy", F.explode(near)).withColumn("cx", F.col("fx") + F.col("dx")).withColumn("cy", F.col("fy") + F.col("dy"))
     left = o.withColumn("cx", cell("o_lat")).withColumn("cy", cell("o_lon"))
-    right = f.withColumn("dx", F.explode(near)).withColumn("dy", F.explode(near)).withColumn("cx", cell("f_lat") + F.col("dx")).withColumn("cy", cell("f_lon") + F.col("dy"))
-    return left.join(right, ["cx", "cy"]).withColumn("distance", dist).where(F.col("distance") <= radius).select("object_id", "feature_id", "distance")
+    own = f.withColumn("fx", cell("f_lat")).withColumn("fy", cell("f_lon"))
+    n_features = nine(own.groupBy("fx", "fy").agg(F.count(F.lit(1)).alias("n"))).groupBy("cx", "cy").agg(F.sum("n").alias("n_features"))
+    cells = cut(left.groupBy("cx", "cy").agg(F.count(F.lit(1)).alias("n_objects")).join(n_features, ["cx", "cy"]), "join-cells")
+    full = (F.col("n_objects") > BLOCK) | (F.col("n_features") > BLOCK)
+    pairs, n_full = cells.agg(F.sum(F.col("n_objects").cast("double") * F.col("n_features")), F.count_if(full)).first()
+    right, keys = nine(own), ["cx", "cy"]
+    if (pairs or 0) > MANY_PAIRS:
+        blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int").alias(n)
+        counts = cells.where(full).select("cx", "cy", blocks("n_objects"), blocks("n_features"))
+        counts = F.broadcast(counts) if n_full <= BROADCAST_CELLS else counts
+        left, right = (_in_blocks(df, counts, *names) for df, names in ((left, ("o", "n_objects", "n_features")), (right, ("f", "n_features", "n_objects"))))
+        keys, tasks = [*keys, "bo", "bf"], min(MOST_TASKS, math.ceil(pairs / BLOCK**2))
+        left, right = left.repartition(tasks, *keys), right.repartition(tasks, *keys)
+    # features are streamed and a key's objects held: these are of one cell, the features of nine
+    return right.join(left, keys).withColumn("distance", dist).where(F.col("distance") <= radius).select("object_id", "feature_id", "distance")
+
+
+def _in_blocks(df: DataFrame, counts: DataFrame, side: str, own: str, other: str) -> DataFrame:
+    """Rows with ``bo`` and ``bf``: each in one of its cell's blocks of its ``side``, o or f, and in all of the other side's."""
+    facing = "bf" if side == "o" else "bo"
+    row = F.xxhash64(*[c for c in df.columns if c.startswith(("object", "feature", f"{side}_"))])
+    met = df.join(counts, ["cx", "cy"], "left").withColumn(f"b{side}", F.pmod(row, F.coalesce(own, F.lit(1))).cast("int"))
+    return met.withColumn(facing, F.explode(F.sequence(F.lit(0), F.coalesce(other, F.lit(1)) - 1))).drop("n_objects", "n_features")
 
 
 def nearest_with_ties(objects: DataFrame, features: DataFrame) -> DataFrame:

@@ -362,7 +362,7 @@ QUERIES: dict[str, Query] = {
     "skpq_influence_group": preference("influence", True),
     "skpq_unknown_keyword": preference("influence", False, UNKNOWN),
     "objects_in_rectangle": lambda s, d: search.objects_in_rectangle(objects(s, d), *RECT),
-    "distance_join": lambda s, d: _rounded(spatial.distance_join(objects(s, d), features(s, d), RADIUS), "distance"),
+    "distance_join": lambda s, d: spatial.distance_join(objects(s, d), features(s, d), RADIUS).withColumn("distance", formulas.rounded(F.col("distance"), PLACES)),
     "nearest_with_ties": lambda s, d: _rounded(spatial.nearest_with_ties(objects(s, d), features(s, d)), "distance"),
     "rect_min_distance": rect_min_distance,
     "index_build_stats": build_stats,

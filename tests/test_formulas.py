@@ -1,5 +1,6 @@
 import math
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -37,6 +38,16 @@ def test_distances(spark):
     assert one(spark, formulas.in_rect(F.lit(1.0), F.lit(2.0), 1.0, 0.0, 3.0, 2.0)) is True
 
 
+def test_rounded_as_duckdb(spark):
+    """Half steps and sums of squares of the grid that the queries' places lie on, to the last bit."""
+    steps = [(k + 0.5) / 1e9 for k in range(0, 50_000_000, 99_991)]
+    grid = [math.sqrt((i / 10007.0) ** 2 + (j / 10009.0) ** 2) for i in range(0, 500, 9) for j in range(0, 500, 7)]
+    rows = spark.createDataFrame([(x,) for x in [0.0, *steps, *grid]], "x double")
+    ours = [tuple(r) for r in rows.select("x", formulas.rounded(F.col("x"), 9)).collect()]
+    assert ours == duckdb.execute("SELECT x, round(x, 9) FROM (SELECT unnest(?::DOUBLE[]) AS x)", [[x for x, _ in ours]]).fetchall()
+    assert one(spark, formulas.rounded(F.lit(None).cast("double"), 9)) is None
+
+
 def test_codes(spark):
     assert [formulas.neighbourhood(x) for x in (0, "1", "influence", 2)] == ["nn", "range", "influence", "influence"]
     for wrong in (3, "circle", "7"):

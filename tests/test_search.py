@@ -6,6 +6,7 @@ from collections import Counter
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from nearword.operators import search, spatial, weights
 from nearword.plans import index
@@ -127,6 +128,24 @@ def test_nearest_with_ties_and_nulls(spark):
     assert sorted(r["object_id"] for r in spatial.distance_join(o, f.union(spark.createDataFrame([(14, 0.0, 0.0)], f.schema)), 0.0).collect()) == [1]
 
 
+def test_many_pairs_are_dealt_by_their_number(spark, monkeypatch):
+    """One spot has nearly all rows; they're a few bytes, but their pairs go to more than one task, each pair once."""
+    r = random.Random(4)
+    spot = lambda i: (0.5 + r.random() / 100, 0.5 + r.random() / 100) if i % 10 else (r.random(), r.random())
+    objects = [(i, *spot(i)) for i in range(150)] + [(7, 0.5, 0.5)] * 2 + [(None, 0.5, 0.5)]
+    feats = [(i, *spot(i)) for i in range(400)] + [(7, 0.5, 0.51), (7, 0.5, 0.51)]
+    o, f = (spark.createDataFrame(rows, "id int, lat double, lon double") for rows in (objects, feats))
+    expected = Counter((a[0], b[0]) for a in objects for b in feats if math.sqrt((a[1] - b[1]) ** 2 + (a[2] - b[2]) ** 2) <= 0.05)
+    assert len(expected) > 40_000
+    for broadcast in (100, 0):
+        for name, value in (("MANY_PAIRS", 10_000), ("BLOCK", 64), ("BROADCAST_CELLS", broadcast)):
+            monkeypatch.setattr(spatial, name, value, raising=False)
+        joined = spatial.distance_join(o, f, 0.05)
+        dealt = [x["n"] for x in joined.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
+        assert len(dealt) > 5 and max(dealt) < len(expected) / 3, dealt
+        assert Counter((x[0], x[1]) for x in joined.collect()) == expected
+
+
 def test_skewed_places(spark):
     """All features in one spot but one far away."""
     f = spark.createDataFrame([(i, 0.5, 0.5, i / 100) for i in range(100)] + [(100, 1000.0, 1000.0, 5.0)], "id int, lat double, lon double, theta double")
