@@ -14,6 +14,7 @@ neighbourhood. Repeated features weigh once, repeated objects are answered row b
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,6 +33,8 @@ BROADCAST_LEVEL = 8
 _SLACK = 1 + 1e-12
 #: A distance join of more pairs of neighbouring cells than MANY_PAIRS is done in blocks of about BLOCK objects by BLOCK features.
 MANY_PAIRS, BLOCK, MOST_TASKS = 1 << 28, 4096, 10_000
+#: Its cells are then a FINE-th of the radius wide: fewer pairs of neighbouring cells are too far apart.
+FINE = 3
 #: So many cells of more than a block are broadcast at most.
 BROADCAST_CELLS = 131_072
 
@@ -42,7 +45,7 @@ def distance_join(objects: DataFrame, features: DataFrame, radius: float) -> Dat
     Cells slightly wider than the radius: a pair's cells are neighbours, so features go to nine cells, objects
     to one, and an equi-join on the cell with the exact condition gives every pair once. The work is in the
     pairs, not in the bytes that Spark deals tasks by, so where they are many, full cells are cut into blocks
-    and the tasks are as many as the pairs need.
+    and the tasks are as many as the pairs need. Then too, pairs come in an order that Parquet stores in fewer bytes.
     """
     if radius < 0:
         raise ValueError("a negative radius")
@@ -52,33 +55,76 @@ def distance_join(objects: DataFrame, features: DataFrame, radius: float) -> Dat
     if radius == 0:
         met = o.join(f, (o["o_lat"] == f["f_lat"]) & (o["o_lon"] == f["f_lon"]))
         return met.select("object_id", "feature_id", dist.alias("distance"))
-    side = radius * (1 + 1e-9)
-    cell = lambda c: F.floor(F.col(c) / side)
-    near = F.array(*[F.lit(i) for i in (-1, 0, 1)])
-    nine = lambda df: df.withColumn("dx", F.explode(near)).withColumn("dy", F.explode(near)).withColumn("cx", F.col("fx") + F.col("dx")).withColumn("cy", F.col("fy") + F.col("dy"))
-    left = o.withColumn("cx", cell("o_lat")).withColumn("cy", cell("o_lon"))
-    own = f.withColumn("fx", cell("f_lat")).withColumn("fy", cell("f_lon"))
-    n_features = nine(own.groupBy("fx", "fy").agg(F.count(F.lit(1)).alias("n"))).groupBy("cx", "cy").agg(F.sum("n").alias("n_features"))
-    cells = cut(left.groupBy("cx", "cy").agg(F.count(F.lit(1)).alias("n_objects")).join(n_features, ["cx", "cy"]), "join-cells")
-    full = (F.col("n_objects") > BLOCK) | (F.col("n_features") > BLOCK)
-    pairs, n_full = cells.agg(F.sum(F.col("n_objects").cast("double") * F.col("n_features")), F.count_if(full)).first()
-    right, keys = nine(own), ["cx", "cy"]
-    if (pairs or 0) > MANY_PAIRS:
+    left, right = _by_cell(o, "o", radius), _by_cell(f, "f", radius)
+    pairs = _pairs(_numbers(left), _around(_numbers(right), _steps(1)), ["cx", "cy"]).agg(F.sum("pairs")).first()[0] or 0
+    # features are streamed and a key's objects held: these are of one cell, the features of those around it
+    met = _around(right, _steps(1)).join(left, ["cx", "cy"]) if pairs <= MANY_PAIRS else reduce(DataFrame.union, _parts(o, f, radius))
+    return met.withColumn("distance", dist).where(F.col("distance") <= radius).select("object_id", "feature_id", "distance")
+
+
+def _parts(o: DataFrame, f: DataFrame, radius: float) -> list[DataFrame]:
+    """The pairs of neighbouring cells a third as wide, in four parts by whether the cells are two or more apart in lat and in lon.
+
+    Where places lie on a grid, a part has fewer different distances than all pairs, so that dictionaries of
+    Parquet can hold a file's. A writer keeps its dictionary only if values of its first page repeat:
+    pairs of one and the same cell, which have the fewest, come first, and a part has those of every fourth cell.
+    """
+    left, own = (cut(_by_cell(df, side, radius / FINE), f"join-{side}") for df, side in ((o, "o"), (f, "f")))
+    n_left, n_own = (cut(_numbers(df), "join-cells") for df in (left, own))
+    met, keys = [], ["apart", "cx", "cy"]
+    for part in range(4):
+        mine = F.col("apart") | (F.pmod(F.xxhash64("cx", "cy"), F.lit(4)) == part)
+        steps = [(dx, dy) for dx, dy in _steps(FINE) if (dx, dy) == (0, 0) or (abs(dx) > 1) + 2 * (abs(dy) > 1) == part]
+        objects, n_objects = (df.withColumn("apart", F.explode(F.array(F.lit(False), F.lit(True)))).where(mine) for df in (left, n_left))
+        features, n_features = (_around(df, steps).withColumn("apart", (F.col("dx") != 0) | (F.col("dy") != 0)).drop("dx", "dy").where(mine) for df in (own, n_own))
+        cells = cut(_pairs(n_objects, n_features, keys), "join-cells")
+        full = (F.col("n_objects") > BLOCK) | (F.col("n_features") > BLOCK)
+        pairs, n_full = cells.agg(F.sum("pairs"), F.count_if(full)).first()
+        if not pairs:
+            continue
         blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int").alias(n)
-        counts = cells.where(full).select("cx", "cy", blocks("n_objects"), blocks("n_features"))
+        counts = cells.where(full).select(*keys, blocks("n_objects"), blocks("n_features"))
         counts = F.broadcast(counts) if n_full <= BROADCAST_CELLS else counts
-        left, right = (_in_blocks(df, counts, *names) for df, names in ((left, ("o", "n_objects", "n_features")), (right, ("f", "n_features", "n_objects"))))
-        keys, tasks = [*keys, "bo", "bf"], min(MOST_TASKS, math.ceil(pairs / BLOCK**2))
-        left, right = left.repartition(tasks, *keys), right.repartition(tasks, *keys)
-    # features are streamed and a key's objects held: these are of one cell, the features of nine
-    return right.join(left, keys).withColumn("distance", dist).where(F.col("distance") <= radius).select("object_id", "feature_id", "distance")
+        objects, features = (_in_blocks(df, counts, keys, *names) for df, names in ((objects, ("o", "n_objects", "n_features")), (features, ("f", "n_features", "n_objects"))))
+        by, tasks = ["place", *keys, "bo", "bf"], min(MOST_TASKS, math.ceil(pairs / BLOCK**2))
+        # what is not apart comes first when sorted; of a key's columns, Spark compares the first alone mostly
+        place = F.when(F.col("apart"), F.lit(1 << 62)).otherwise(F.lit(0)) + F.shiftrightunsigned(F.xxhash64("cx", "cy", "bo", "bf"), 2)
+        objects, features = (df.withColumn("place", place) for df in (objects, features))
+        met.append(features.repartition(tasks, *by).join(objects.repartition(tasks, *by).hint("merge"), by))
+    return met
+
+
+def _by_cell(df: DataFrame, side: str, radius: float) -> DataFrame:
+    """Rows with their cell (cx, cy), slightly wider than ``radius``."""
+    return df.withColumns({c: F.floor(F.col(f"{side}_{x}") / (radius * (1 + 1e-9))) for c, x in (("cx", "lat"), ("cy", "lon"))})
+
+
+def _steps(reach: int) -> list[tuple[int, int]]:
+    return [(dx, dy) for dx in range(-reach, reach + 1) for dy in range(-reach, reach + 1)]
+
+
+def _around(df: DataFrame, steps: list[tuple[int, int]]) -> DataFrame:
+    """Rows once for each cell that one of ``steps`` (dx, dy) leads to from theirs."""
+    step = F.explode(F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in steps]))
+    return df.select("*", step.alias("step")).select("*", "step.dx", "step.dy").drop("step").withColumns({"cx": F.col("cx") + F.col("dx"), "cy": F.col("cy") + F.col("dy")})
+
+
+def _numbers(df: DataFrame) -> DataFrame:
+    """How many rows a cell has, as n."""
+    return df.groupBy("cx", "cy").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _pairs(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Numbers of objects, features and pairs by key, of the keys that both have."""
+    n_objects, n_features = (df.groupBy(*keys).agg(F.sum("n").alias(name)) for df, name in ((left, "n_objects"), (right, "n_features")))
+    return n_objects.join(n_features, keys).withColumn("pairs", F.col("n_objects").cast("double") * F.col("n_features"))
 
 
-def _in_blocks(df: DataFrame, counts: DataFrame, side: str, own: str, other: str) -> DataFrame:
+def _in_blocks(df: DataFrame, counts: DataFrame, keys: list[str], side: str, own: str, other: str) -> DataFrame:
     """Rows with ``bo`` and ``bf``: each in one of its cell's blocks of its ``side``, o or f, and in all of the other side's."""
     facing = "bf" if side == "o" else "bo"
     row = F.xxhash64(*[c for c in df.columns if c.startswith(("object", "feature", f"{side}_"))])
-    met = df.join(counts, ["cx", "cy"], "left").withColumn(f"b{side}", F.pmod(row, F.coalesce(own, F.lit(1))).cast("int"))
+    met = df.join(counts, keys, "left").withColumn(f"b{side}", F.pmod(row, F.coalesce(own, F.lit(1))).cast("int"))
     return met.withColumn(facing, F.explode(F.sequence(F.lit(0), F.coalesce(other, F.lit(1)) - 1))).drop("n_objects", "n_features")
 
 

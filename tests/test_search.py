@@ -3,11 +3,13 @@ import random
 import re
 from collections import Counter
 
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from nearword.functions import formulas
 from nearword.operators import search, spatial, weights
 from nearword.plans import index
 
@@ -146,6 +148,21 @@ def test_many_pairs_are_dealt_by_their_number(spark, monkeypatch):
         assert Counter((x[0], x[1]) for x in joined.collect()) == expected
 
 
+def test_pairs_of_a_grid_take_few_bytes(spark, monkeypatch, tmp_path):
+    """All pairs are written, and distances that recur are in dictionaries: stored one by one they took 8 bytes a row."""
+    place = lambda a, b: [(F.col("id") * a % 2003 / F.lit(10007.0)).alias("lat"), (F.col("id") * b % 1999 / F.lit(10009.0)).alias("lon")]
+    o, f = (spark.range(4000).select("id", *place(*ab)) for ab in ((7919, 6271), (5779, 3571)))
+    monkeypatch.setattr(spatial, "MANY_PAIRS", 10_000)
+    spatial.distance_join(o, f, 0.05).withColumn("distance", formulas.rounded(F.col("distance"), 9)).write.parquet(f"{tmp_path}/pairs")
+    files = [pq.ParquetFile(p).metadata for p in tmp_path.glob("pairs/*.parquet")]
+    groups = [m.row_group(i) for m in files for i in range(m.num_row_groups)]
+    dist = formulas.distance(F.col("o.lat"), F.col("o.lon"), F.col("f.lat"), F.col("f.lon"))
+    digest = [F.count(F.lit(1)), F.bit_xor(F.xxhash64("object_id", "feature_id"))]
+    crossed = o.alias("o").crossJoin(f.alias("f")).where(dist <= 0.05).select(F.col("o.id").alias("object_id"), F.col("f.id").alias("feature_id"))
+    assert spark.read.parquet(f"{tmp_path}/pairs").agg(*digest).first() == crossed.agg(*digest).first()
+    assert sum(g.column(2).total_compressed_size for g in groups) < 4 * sum(g.num_rows for g in groups)
+
+
 def test_skewed_places(spark):
     """All features in one spot but one far away."""
     f = spark.createDataFrame([(i, 0.5, 0.5, i / 100) for i in range(100)] + [(100, 1000.0, 1000.0, 5.0)], "id int, lat double, lon double, theta double")
